@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_benchmark_text
 from .exact_dedup import exact_dedup
+from .simhash import simhash_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +19,42 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
 
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_benchmark_text(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "hits.items"), 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {"op6_simhash_dedup": op6_simhash_dedup, "op9_exact_dedup": op9_exact_dedup, "op10_decontaminate": op10_decontaminate}
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLES = {
     "op9_exact_dedup": """
         WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM documents JOIN g ON coalesce(text, '') = t""",
+    "op10_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+        win AS (
+            SELECT item, least(10, len(w)) AS m, array_to_string(w[i + 1 : i + least(10, len(w))], ' ') AS k
+            FROM b, generate_series(0, greatest(len(w) - 10, 0)) AS g(i) WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT m FROM win),
+        places AS (
+            SELECT doc_id, m, i, array_to_string(w[i + 1 : i + m], ' ') AS k
+            FROM (SELECT doc_id, w, m, unnest(generate_series(0, len(w) - m)) AS i FROM d, sizes WHERE len(w) >= m)),
+        hit AS (SELECT DISTINCT doc_id, p.m, i, item FROM places p JOIN win USING (m, k)),
+        covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + unnest(generate_series(0, m - 1)) AS pos FROM hit) GROUP BY 1),
+        items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+            sha256(coalesce(items.s, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
 }

@@ -7,7 +7,20 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_benchmark_text
 from .exact_dedup import exact_dedup
+from .shared import materialize
 from .simhash import simhash_groups
+from .token_files import read_token_files, write_token_files
+from .warc import read_warc, resolve_revisits, write_warc
+
+#: Vocabulary of op8 and the id that ends each document.
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +36,16 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_warc(_table(spark, sf_dir, "pages"))
+    return resolve_revisits(materialize(read_warc(manifest, with_payload=False), "warc-read"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+    return read_token_files(spark, files).withColumnRenamed("id", "doc_id")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_benchmark_text(docs, _table(spark, sf_dir, "benchmark"))
@@ -32,11 +55,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_simhash_dedup": op6_simhash_dedup, "op9_exact_dedup": op9_exact_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op6_simhash_dedup": op6_simhash_dedup, "op7_warc": op7_warc, "op8_token_files": op8_token_files, "op9_exact_dedup": op9_exact_dedup, "op10_decontaminate": op10_decontaminate}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLES = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + CAST((CAST('0x' || substr(x, CAST(1 + 5 * (k // 4) AS INT), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INT), 1)), '') AS payload_digest,
+            CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM d""",
     "op9_exact_dedup": """
         WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256

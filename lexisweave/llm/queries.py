@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import find_benchmark_text
 from .exact_dedup import exact_dedup
 from .license_scan import license_digest, scan_licenses
+from .secret_scan import scan_secrets, secret_digest
 from .shared import materialize
 from .simhash import simhash_groups
 from .token_files import read_token_files, write_token_files
@@ -37,6 +38,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_license_scan": op3_license_scan, "op6_simhash_dedup": op6_simhash_dedup, "op7_warc": op7_warc, "op8_token_files": op8_token_files, "op9_exact_dedup": op9_exact_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op3_license_scan": op3_license_scan, "op5_secret_scan": op5_secret_scan, "op6_simhash_dedup": op6_simhash_dedup, "op7_warc": op7_warc, "op8_token_files": op8_token_files, "op9_exact_dedup": op9_exact_dedup, "op10_decontaminate": op10_decontaminate}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_benchmark_text
 from .exact_dedup import exact_dedup
+from .language_id import identify, train
 from .license_scan import license_digest, scan_licenses
 from .secret_scan import scan_secrets, secret_digest
 from .shared import materialize
@@ -34,6 +35,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    model = train(docs, held_out)
+    found = identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -65,7 +74,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_license_scan": op3_license_scan, "op5_secret_scan": op5_secret_scan, "op6_simhash_dedup": op6_simhash_dedup, "op7_warc": op7_warc, "op8_token_files": op8_token_files, "op9_exact_dedup": op9_exact_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op2_language_id": op2_language_id, "op3_license_scan": op3_license_scan, "op5_secret_scan": op5_secret_scan, "op6_simhash_dedup": op6_simhash_dedup, "op7_warc": op7_warc, "op8_token_files": op8_token_files, "op9_exact_dedup": op9_exact_dedup, "op10_decontaminate": op10_decontaminate}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 

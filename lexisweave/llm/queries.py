@@ -9,6 +9,8 @@ from .decontaminate import find_benchmark_text
 from .exact_dedup import exact_dedup
 from .language_id import identify, train
 from .license_scan import license_digest, scan_licenses
+from .quality import classify
+from .quality import train as train_quality
 from .secret_scan import scan_secrets, secret_digest
 from .shared import materialize
 from .simhash import simhash_groups
@@ -47,6 +49,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = classify(docs, train_quality(docs))
+    return found.select("doc_id", "quality.label", "quality.score", "quality.keep")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -74,7 +82,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op3_license_scan": op3_license_scan, "op5_secret_scan": op5_secret_scan, "op6_simhash_dedup": op6_simhash_dedup, "op7_warc": op7_warc, "op8_token_files": op8_token_files, "op9_exact_dedup": op9_exact_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op2_language_id": op2_language_id, "op3_license_scan": op3_license_scan, "op4_quality": op4_quality, "op5_secret_scan": op5_secret_scan, "op6_simhash_dedup": op6_simhash_dedup, "op7_warc": op7_warc, "op8_token_files": op8_token_files, "op9_exact_dedup": op9_exact_dedup, "op10_decontaminate": op10_decontaminate}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 

@@ -38,7 +38,8 @@ def plain_components(ids, fps, radius=2):
 
 @pytest.mark.parametrize("text", [None, "", " \t\n", "one", "One TWO", "a b c", "a b c d a b c d a b c", "É é ſ K x\x0by\x1fz w q", "w " * 5000])
 def test_fingerprint(text):
-    assert S.fingerprint((text or "").encode()) == plain_fingerprint(text)
+    assert S.fingerprint((text or "").encode()).tolist() == [plain_fingerprint(text)]
+    assert S.fingerprint((text or "").encode(), words=4)[0] == plain_fingerprint(text)
 
 
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
@@ -48,7 +49,7 @@ def test_kernel_counts_distances(radius):
     fps = np.repeat(base, 64, axis=1)
     for _ in range(4):
         fps ^= (rng.integers(0, 2, fps.shape) * (1 << rng.integers(0, 63, fps.shape))).astype(np.uint64)
-    masks = S.lanes_within(fps, S.bit_planes(fps), radius)
+    masks = S.lanes_within(fps[:, :, None], S.bit_planes(fps[:, :, None]), radius)
     for b in range(5):
         for q in range(64):
             want = sum(1 << k for k in range(64) if (int(fps[b, q]) ^ int(fps[b, k])).bit_count() <= radius)
@@ -65,7 +66,7 @@ def test_links_connect_small_and_large_buckets():
             for _ in range(rnd.randint(0, 5)):
                 f ^= 1 << rnd.randint(0, 15)
             fps.append(f), bucket.append(k)
-    found = list(S.links(np.array(bucket), np.zeros(len(fps), int), np.array(fps, dtype=np.uint64), 2))
+    found = list(S.links(np.array(bucket), np.zeros(len(fps), int), np.array(fps, dtype=np.uint64)[:, None], 2))
     assert len(found) < len(fps)
     for k in set(bucket):
         own = [i for i in range(len(fps)) if bucket[i] == k]
@@ -98,7 +99,7 @@ def test_components_of_chains_and_hubs(spark):
 def test_groups_against_brute_force(spark, chunk, monkeypatch):
     rnd = random.Random(5)
     # planted fingerprints: the text is the fingerprint in hex, so that links of all kinds occur
-    monkeypatch.setattr(S, "fingerprints", lambda docs, *_: docs.selectExpr("doc_id id", "cast(conv(text, 16, -10) as long) fp"))
+    monkeypatch.setattr(S, "fingerprints", lambda docs, *_: docs.selectExpr("doc_id id", "cast(conv(text, 16, -10) as long) f0"))
     centres = [rnd.getrandbits(64) for _ in range(6)]
     fps = [0, 0, 1]
     for c in centres:
@@ -120,9 +121,43 @@ def test_groups_against_brute_force(spark, chunk, monkeypatch):
 def test_rows(spark):
     long = " ".join(str(i) for i in range(30000))
     texts = [(5, "a b c d"), (3, "A  b\nc d"), (9, None), (8, ""), (7, "\t"), (4, long), (2, long + " x"), (5, "a b c d"), (6, "q")]
-    docs = spark.createDataFrame([(i, t, "n", 1, 2) for i, t in texts], "doc_id long, text string, fp string, node int, component_id int")
+    docs = spark.createDataFrame([(i, t, "n", 1, 2) for i, t in texts], "doc_id long, text string, f0 string, node int, component_id int")
     got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in S.simhash_groups(docs).collect())
     fps = [plain_fingerprint(t) for _, t in texts]
     want = plain_components([i for i, _ in texts], fps)
     assert got == sorted((i, f"{f:016x}", w) for (i, _), f, w in zip(texts, fps, want))
     assert S.simhash_groups(docs.limit(0)).count() == 0
+
+
+def test_wide_kernel():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, (3, 1, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    flips = np.packbits(rng.random((3, 64, 256)) < rng.choice([0.02, 0.08, 0.5], (3, 64, 1)), axis=2).view("<u8").astype(np.uint64)
+    fps = np.repeat(base, 64, axis=1) ^ flips
+    for radius in (39, 20, 64):
+        masks = S.lanes_within(fps, S.bit_planes(fps), radius)
+        for b in range(3):
+            far = np.bitwise_count(fps[b][:, None, :] ^ fps[b][None, :, :]).sum(axis=2)
+            want = (far <= radius)
+            assert np.array_equal(np.unpackbits(masks[b].astype("<u8").view(np.uint8).reshape(64, 8), axis=1, bitorder="little").astype(bool), want)
+
+
+def test_similar_texts_meet_and_others_do_not(spark):
+    """Pairs by the exact Jaccard similarity of 5-word shingles: above 0.87 linked, below 0.7 apart."""
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], []
+    for k in range(120):
+        a = rnd.choices(vocab, k=rnd.randint(60, 400))
+        b = list(a)
+        for _ in range(rnd.randint(0, max(1, len(a) // 14))):
+            b[rnd.randrange(len(b))] = rnd.choice(vocab)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        pairs.append(len(x & y) / len(x | y))
+    got = {r.doc_id: r.component_id for r in S.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, words=4, radius=39).collect()}
+    for k, j in enumerate(pairs):
+        assert got[2 * k] == 2 * k
+        if j >= 0.87 or j <= 0.7:
+            assert (got[2 * k + 1] == 2 * k) == (j >= 0.87), j
+    assert sum(j >= 0.87 for j in pairs) > 20 and sum(j <= 0.7 for j in pairs) > 5

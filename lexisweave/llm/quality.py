@@ -49,7 +49,7 @@ def statistics(text: bytes) -> dict[str, float]:
         "capitals": len(text.translate(None, _NOT_UPPER)) / max(1, letters),
         "shouts": text.count(b"!!") / n,
         "repeated_lines": 1 - len(set(lines)) / max(1, len(lines)) if len(lines) > 3 else 0.0,
-        "distinct": len(distinct) / n,
+        "variety": len(distinct) / n**0.5,  # grows slowly with length in prose
         "repeats": sum(map(operator.eq, words, words[1:])) / n,
         "letters": letters / max(1, letters + len(text.translate(None, _PLAIN))),
         "digits": len(text.translate(None, _NOT_DIGIT)) / max(1, len(text)),
@@ -67,7 +67,7 @@ def votes(s: dict[str, float]) -> list[int]:
         s["capitals"] > 0.5 and s["words"] >= 3,
         s["shouts"] > 0.2,
         s["repeated_lines"] > 0.3,
-        enough and s["distinct"] < 0.12,
+        enough and s["variety"] < 2,
         s["letters"] < 0.75 and s["words"] >= 3,
         s["digits"] > 0.5,
         s["repeats"] > 0.2 and s["words"] >= 5,
@@ -110,11 +110,15 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
+#: What is known of the labellers beforehand: the largest share of good texts that get a BAD vote, and the least share of bad ones.
+FALSE_ALARMS, RECALL = 0.002, 0.1
+
+
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, false_alarms: float = FALSE_ALARMS, recall: float = RECALL) -> LabelModel:
     """Class prior and vote probabilities of each labeller from the counts of vote patterns, without any true label.
 
-    Starts from the share of BAD votes among those cast, which makes class BAD the one that they point to, and alternates posteriors and (smoothed) re-estimates until they stay. A labeller's BAD
-    vote can't become a sign of good: its odds are held at 1 or more.
+    Starts from the share of BAD votes among those cast, which makes class BAD the one that they point to, and alternates posteriors and (smoothed) re-estimates until they stay. Within
+    false_alarms and recall: a labeller whose kind of junk shows no other sign would else be taken for a habit of good texts.
     """
     bad, cast = (patterns == BAD).sum(axis=1), (patterns != ABSTAIN).sum(axis=1)
     good = np.where(bad == 0, 0.95, 0.3 * (1 - bad / np.maximum(cast, 1)) + 0.02)
@@ -126,9 +130,10 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
             for v in (BAD, GOOD, ABSTAIN):
                 vote[c, :, v] = (weight[c][:, None] * (patterns == v)).sum(axis=0) + 1.0 / 3
             vote[c] /= vote[c].sum(axis=1, keepdims=True)
-        low = vote[BAD, :, BAD] < vote[GOOD, :, BAD]
-        vote[GOOD, low, BAD] = vote[BAD, low, BAD]
-        vote /= vote.sum(axis=2, keepdims=True)
+        for c, held in ((BAD, np.maximum(vote[BAD, :, BAD], recall)), (GOOD, np.minimum(vote[GOOD, :, BAD], false_alarms))):
+            rest = vote[c, :, GOOD] + vote[c, :, ABSTAIN]
+            vote[c, :, [GOOD, ABSTAIN]] *= (1 - held) / rest
+            vote[c, :, BAD] = held
         prior = float(np.clip(weight[GOOD].sum() / max(1e-9, weight.sum()), 0.02, 0.98))
         model = LabelModel(prior, vote)
         new = model.posterior(patterns)
@@ -198,7 +203,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
 
     seen = source.mapInArrow(vote, "code int").where("code is not null").groupBy("code").count().collect()
     seen = sorted((r["code"], r["count"]) for r in seen)
-    patterns = np.array([pattern(c) for c, _ in seen]).reshape(-1, LABELLERS)
+    patterns = np.array([pattern(c) for c, _ in seen], dtype=int).reshape(-1, LABELLERS)
     counts = np.array([n for _, n in seen], dtype=float)
     labels = expectation_maximisation(patterns, counts) if seen else LabelModel(0.5, np.full((2, LABELLERS, 3), 1 / 3))
     flagged = {c: BAD in pattern(c) for c, _ in seen}
@@ -228,7 +233,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     matrix = np.zeros((len(found), 1 << BITS), np.float32)
     for i, r in enumerate(found):
         matrix[i, r["slots"]] = r["values"]
-    target = labels.posterior(np.array([pattern(r["code"]) for r in found]).reshape(-1, LABELLERS)).astype(np.float32)
+    target = labels.posterior(np.array([pattern(r["code"]) for r in found], dtype=int).reshape(-1, LABELLERS)).astype(np.float32)
     weights, bias = train_scorer(matrix, target)
     return QualityModel(labels, weights, bias)
 

@@ -5,8 +5,11 @@ import numpy as np
 from lexisweave.llm import quality as Q
 
 
+VOCABULARY = ["".join(random.Random(k).choices(["ba", "to", "ri", "lem", "son", "ka"], k=2 + k % 3)) for k in range(600)]
+
+
 def prose(rnd, n):
-    return " ".join(rnd.choice("the of and house tree water walking river slowly into bright morning".split()) for _ in range(n)).capitalize() + "."
+    return " ".join(rnd.choice(VOCABULARY if rnd.random() < 0.7 else ["the", "of", "and", "in"]) for _ in range(n)).capitalize() + "."
 
 
 def junk(rnd, n, kind):
@@ -17,7 +20,7 @@ def junk(rnd, n, kind):
         return "!! ".join(words).upper()
     if kind == 2:
         return " | ".join(words) + " |"
-    return " ".join(w for w in words for _ in range(9))
+    return " ".join(w for w in words for _ in range(9 + 20 * (n % 2)))
 
 
 def corpus(seed, n=240):
@@ -59,7 +62,7 @@ def test_em_recovers_labeller_accuracy():
     bad = rng.random(n) < 0.2
     rows = np.stack([np.where(rng.random(n) < np.where(bad, r, f), Q.BAD, Q.ABSTAIN) for r, f in zip(recall, false)], axis=1)
     patterns, counts = np.unique(rows, axis=0, return_counts=True)
-    model = Q.expectation_maximisation(patterns, counts.astype(float), 500)
+    model = Q.expectation_maximisation(patterns, counts.astype(float), 500, false_alarms=1.0, recall=0.0)
     assert abs(model.prior - 0.8) < 0.03
     assert np.allclose(model.vote[Q.BAD, :, Q.BAD], recall, atol=0.06) and np.allclose(model.vote[Q.GOOD, :, Q.BAD], false, atol=0.03)
 

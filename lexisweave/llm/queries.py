@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_benchmark_text
 from .exact_dedup import exact_dedup
 from .language_id import identify, train
 from .license_scan import license_digest, scan_licenses
+from .mixing import mix
 from .quality import classify
 from .quality import train as train_quality
 from .secret_scan import scan_secrets, secret_digest
@@ -37,6 +38,22 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
 
 
+#: Production mix: three domains of sources, their languages, and the sources in them, which weigh alike.
+DOMAINS = ("web", "books", "code")
+MIX_WEIGHTS = ({"web": 0.5, "books": 0.3, "code": 0.2}, {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}, {})
+MIX_SHARE = 0.8
+
+
+def mix_path() -> dict[str, Column]:
+    """Domain (by the number in a source's name), language and source."""
+    number = F.coalesce(F.regexp_extract(F.col("source"), "([0-9]+)", 1).try_cast("int"), F.lit(0))
+    return {"domain": F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), (number % 3 + 1).cast("int")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), mix_path(), MIX_WEIGHTS, budget_share=MIX_SHARE)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -82,11 +99,49 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op3_license_scan": op3_license_scan, "op4_quality": op4_quality, "op5_secret_scan": op5_secret_scan, "op6_simhash_dedup": op6_simhash_dedup, "op7_warc": op7_warc, "op8_token_files": op8_token_files, "op9_exact_dedup": op9_exact_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_mix": op1_mix, "op2_language_id": op2_language_id, "op3_license_scan": op3_license_scan, "op4_quality": op4_quality, "op5_secret_scan": op5_secret_scan, "op6_simhash_dedup": op6_simhash_dedup, "op7_warc": op7_warc, "op8_token_files": op8_token_files, "op9_exact_dedup": op9_exact_dedup, "op10_decontaminate": op10_decontaminate}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+
+def _mix_sql() -> str:
+    """Water-filling level by level, then the seeded order of each leaf by one running sum."""
+    path = ["domain", "lang", "source"]
+    case = lambda col, table: "CASE " + " ".join(f"WHEN {col} = '{k}' THEN {v}" for k, v in table.items()) + " ELSE 1.0 END" if table else "1.0"
+    steps = []
+    for depth, table in enumerate(MIX_WEIGHTS, 1):
+        names, parent = ", ".join(path[:depth]), path[: depth - 1]
+        by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+        given = f"(SELECT budget FROM b{depth - 1} AS a WHERE {' AND '.join(f'a.{p} = n.{p}' for p in parent)})" if parent else f"least({MIX_SHARE} * (SELECT sum(tokens) FROM leaves), (SELECT sum(cap) FROM n1))"
+        on = " AND ".join(f"l.{p} = s.{p}" for p in parent) or "true"
+        steps.append(f"""
+        n{depth} AS (SELECT {names}, {path[depth - 1]} AS name, CAST(sum(cap) AS DOUBLE) AS cap, CAST({case(path[depth - 1], table)} AS DOUBLE) AS weight FROM leaves GROUP BY ALL),
+        l{depth} AS (
+            SELECT n.*, cap / weight AS fill, ({given} - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER w - coalesce(sum(weight) OVER o, 0)) AS level
+            FROM n{depth} AS n WINDOW w AS ({by}), o AS ({by} ORDER BY cap / weight, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        s{depth} AS (SELECT {"".join(p + ", " for p in parent)} arg_min(level, fill) AS stop FROM l{depth} WHERE level <= fill GROUP BY ALL),
+        b{depth} AS (SELECT {", ".join("l." + p for p in path[:depth])}, CASE WHEN s.stop IS NULL THEN cap ELSE least(cap, greatest(0.0, s.stop) * weight) END AS budget FROM l{depth} AS l LEFT JOIN s{depth} AS s ON {on})""")
+    return f"""
+        WITH d AS (
+            SELECT doc_id, ['web', 'books', 'code'][coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INT), 0) % 3 + 1] AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+')) AS BIGINT) AS n
+            FROM documents),
+        leaves AS (SELECT domain, lang, source, sum(n) AS tokens, sum(n) * 4.0 AS cap FROM d GROUP BY ALL),{",".join(steps)},
+        p AS (
+            SELECT domain, lang, source, CASE WHEN tokens > 0 THEN CAST(floor(round(budget, 3)) AS BIGINT) // CAST(tokens AS BIGINT) ELSE 0 END AS epochs,
+                CASE WHEN tokens > 0 THEN CAST(floor(round(budget, 3)) AS BIGINT) % CAST(tokens AS BIGINT) ELSE 0 END AS rest
+            FROM leaves JOIN b3 USING (domain, lang, source)),
+        o AS (
+            SELECT d.*, epochs, rest, coalesce(sum(n) OVER (
+                PARTITION BY domain, lang, source ORDER BY md5('mix:' || CAST(epochs AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM d JOIN p USING (domain, lang, source))
+        SELECT doc_id, domain, lang, source, epoch, n AS n_tokens, n AS take_tokens FROM (SELECT *, unnest(generate_series(0, epochs - 1)) AS epoch FROM o)
+        UNION ALL
+        SELECT doc_id, domain, lang, source, epochs, n, CAST(least(n, rest - before) AS BIGINT) FROM o WHERE before < rest"""
+
+
 ORACLES = {
+    "op1_mix": _mix_sql(),
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p)

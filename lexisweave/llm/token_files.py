@@ -16,59 +16,101 @@ from pyspark.sql import functions as F
 
 from .shared import binary_column, file_system, materialize, publish, shared_dir
 
-#: Bytes of text that are encoded together, and entries of a worker's caches.
-SLICE_BYTES, CACHE_ENTRIES = 2 << 20, 300_000
-#: Pieces of the public word-level tokenizer file in ASCII text, by the pattern that file states.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Bytes of text that are encoded together, and entries of a worker's cache of pieces (about 200 bytes each).
+SLICE_BYTES, CACHE_ENTRIES = 2 << 20, 1_000_000
+#: Pieces that go to the library in one call.
+JOINED = 4000
+
+#: Latin-1 bytes of ASCII characters and letters that are their own composed form and have one lower-case letter, and their lower case.
+_LATIN = bytes(c for c in range(256) if c < 128 or c >= 0xC0 and c not in (0xD7, 0xF7))
+_LATIN_LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+#: Pieces of lower-cased Latin-1 text, by the split pattern that the public word-level tokenizer file states.
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xc0-\xff]+")
+
+
+def splits_into_words(path: str) -> bool:
+    """Whether the tokenizer file drops white space, lower-cases, splits by the pattern that _PIECES follows, and marks word ends."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+    split = [x.get("pattern", {}).get("Regex") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return steps == ["NFC", "Replace", "Lowercase"] and split[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"] and rules["model"].get("end_of_word_suffix") == "</w>"
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer whose pre-tokenizer drops white space, so that words can be encoded apart and cached.
+    """Encodes texts by the library, each distinct piece of a word-level tokenizer once.
 
-    Texts are cut at ASCII white space only. Words go to the library unchanged, but ASCII words without a special token's
-    opening are cut further into the pre-tokenizer's pieces, so that punctuation and case don't make new cache entries.
+    The tokenizer's own pre-tokenizer works on pieces that white space or the kind of character ends, so a text's ids are those of its
+    pieces in order. Texts (else white-space separated words) of ASCII and plain Latin-1 letters are cut into
+    pieces here; everything else, and any word with the opening of a special token, goes to the library as it is. New pieces are encoded by the thousand in
+    one call, and told apart by the tokens that end a word. For any other tokenizer, whole texts go to the library.
     """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.library, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.library, self.dtype, self.by_word = Tokenizer.from_file(path), np.dtype(dtype), splits_into_words(path)
+        self.cache: dict[bytes, bytes] = {}  # of pieces in Latin-1
+        self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), dtype=bool)
+        for token, i in self.library.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: Iterable[bytes]) -> None:
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        whole, cut, new = [], {}, set()
-        for word in missing:
-            if word.isascii() and b"<|" not in word:
-                cut[word] = found = ASCII_PIECES.findall(word.decode().lower())
-                new.update(x for x in found if x not in self.pieces)
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: list[bytes]) -> None:
+        if len(self.cache) + len(missing) > CACHE_ENTRIES:
+            self.cache.clear()
+        for at in range(0, len(missing), JOINED):
+            part = missing[at : at + JOINED]
+            ids = np.array(self.library.encode_batch_fast([b" ".join(part).decode("latin-1")], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, bounds = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+                self.cache.update(zip(part, (raw[a:b] for a, b in zip([0, *bounds], bounds, strict=False)), strict=True))
             else:
-                whole.append(word)
-        for keys, texts, into in ((list(new), list(new), self.pieces), (whole, [w.decode("utf-8", "replace") for w in whole], self.words)):
-            into.update(zip(keys, self._encode(texts), strict=True))
-        pieces = self.pieces
-        self.words.update((word, b"".join([pieces[x] for x in found])) for word, found in cut.items())
+                self.cache.update(zip(part, self._encode([x.decode("latin-1") for x in part]), strict=True))
+
+    @staticmethod
+    def _pieces(text: bytes) -> list[bytes] | None:
+        """Pieces of plain text in UTF-8, or None if the library has to cut it."""
+        if b"<|" in text:
+            return None
+        if not text.isascii():
+            try:
+                text = text.decode().encode("latin-1")
+            except UnicodeError:
+                return None
+            if text.translate(None, _LATIN):
+                return None
+        return _PIECES.findall(text.translate(_LATIN_LOWER))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Token ids of each text as little-endian integers of the dtype."""
-        split = [t.split() for t in texts]
-        missing: set[bytes] = set()
-        for words in split:
-            missing |= set(words).difference(self.words)
-        if missing:
-            kept = self.words if len(self.words) <= CACHE_ENTRIES else {}
-            if not kept:  # the cache is about to be emptied
-                missing = {w for words in split for w in words}
-            self._learn(missing)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        """Token ids of each text (UTF-8) as little-endian integers of the dtype."""
+        if not self.by_word:
+            return self._encode([t.decode("utf-8", "replace") for t in texts])
+        cut: list[tuple[bool, list]] = []  # whether all are pieces, and the pieces, or words as pieces or as they are
+        seen: set[bytes] = set()
+        other: set[bytes] = set()
+        for t in texts:
+            pieces = self._pieces(t)
+            if pieces is None:  # word by word
+                words = [(w, self._pieces(w)) for w in t.split()]
+                other.update(w for w, p in words if p is None)
+                cut.append((False, [w if p is None else p for w, p in words]))
+                seen.update(x for _, p in words if p for x in p)
+            else:
+                cut.append((True, pieces))
+                seen.update(pieces)
+        if missing := seen.difference(self.cache):
+            if len(self.cache) + len(missing) > CACHE_ENTRIES:
+                missing = seen  # the cache is about to be emptied
+            self._learn(sorted(missing))
+        get, rest = self.cache.__getitem__, dict(zip(other, self._encode([w.decode("utf-8", "replace") for w in other]), strict=True))
+        out = []
+        for plain, parts in cut:
+            out.append(b"".join(map(get, parts)) if plain else b"".join([b"".join(map(get, x)) if isinstance(x, list) else rest[x] for x in parts]))
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], WordEncoder] = {}

@@ -22,12 +22,24 @@ def expect(texts):
 def test_cached_encoder_equals_the_library():
     rnd = random.Random(4)
     letters = "aAbBéÉñ'’-.,!?<|>0 19\n\t́ ſK日ßİ_"
+    latin = "abcXYZ \u00c0\u00d6\u00d8\u00de\u00df\u00e0\u00f6\u00f8\u00ff\u00d7\u00f7\u00b5\u00aa\u00ba\u00b2\u00bd\u00a0\x85\x1c\x7f'sS.!0\n"
     texts = [t or "" for t in TEXTS] + ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
+    texts += ["".join(rnd.choice(latin) for _ in range(rnd.randint(0, 40))) for _ in range(3000)] + ["".join(rnd.choice(latin[:19] + "'s 9,!") for _ in range(40)) for _ in range(1000)]
     encoder = T.WordEncoder(tokenizer_path(), "<u2")
     got = [np.frombuffer(x, "<u2").tolist() + [END_ID] for x in encoder.encode([t.encode() for t in texts])]
     assert got == expect(texts)
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = T.WordEncoder(path, "<u2"), Tokenizer.from_file(path)
+    assert not encoder.by_word and T.splits_into_words(tokenizer_path())
+    texts = [t or "" for t in TEXTS]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_cache_can_be_emptied(monkeypatch):
     monkeypatch.setattr(T, "CACHE_ENTRIES", 3)
     encoder = T.WordEncoder(tokenizer_path(), "<u4")

@@ -33,7 +33,8 @@ def unescaped(text: Column) -> Column:
     simple = text
     for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
         simple = F.replace(simple, F.lit(entity), F.lit(char))
-    return F.when(~text.contains("&"), text).when(~text.rlike("&(?!(?:copy|middot|quot|lt|gt|nbsp|amp);)"), simple).otherwise(_unescape(text))
+    plain = ~text.rlike("&(?!(?:copy|middot|quot|lt|gt|nbsp|amp);)")
+    return F.when(plain, simple).otherwise(_unescape(F.when(~plain, text)))  # the Arrow function only gets what it has to
 
 
 def collapsed(text: Column) -> Column:
@@ -116,7 +117,9 @@ def absolute(base: Column, href: Column) -> Column:
     """href resolved against base. Absolute and root-relative targets without dot segments stay in the JVM."""
     root = F.concat(_part(base, 1), F.lit("://"), _part(base, 2), href)
     dots = href.rlike(r"(^|/)\.\.?(/|$|[?#])")
-    return F.when(href.rlike("(?i)^https?://[^/?#]+([/?#]|$)") & ~dots, href).when(href.rlike("^/([^/]|$)") & ~dots & base.rlike("(?i)^https?://"), root).otherwise(_joined(base, href))
+    whole = href.rlike("(?i)^https?://[^/?#]+([/?#]|$)") & ~dots
+    rooted = href.rlike("^/([^/]|$)") & ~dots & base.rlike("(?i)^https?://")
+    return F.when(whole, href).when(rooted, root).otherwise(_joined(base, F.when(~whole & ~rooted, href)))
 
 
 def links(base: Column, href: Column) -> Column:

@@ -2,5 +2,483 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import html as H
+from ..functions import text as T
+from ..functions.stemming import stem, stem_sql
+from ..operators import analytics as A
+from ..operators import crawl as C
+from ..operators import evaluate as E
+from ..operators import index as I
+from ..operators.search import SearchEngine
+from ..sources import corpus as S
+from ..sources.scratch import scratch_dir
+from .judgments import JUDGMENTS
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+# ---------------------------------------------------------------------------- tables
+
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+_ENGINES: dict[tuple[str, str], SearchEngine] = {}
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.read_documents(spark, sf_dir)
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def engine(spark: SparkSession, sf_dir: str) -> SearchEngine:
+    """Engine over the documents' index, which is built and saved once for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ENGINES:
+        _ENGINES[key] = SearchEngine(I.Index.build(_docs(spark, sf_dir)).save(scratch_dir(spark, "index")))
+    return _ENGINES[key]
+
+
+def judgments(spark: SparkSession) -> DataFrame:
+    rows = [(q, system, rels) for q, *lists in JUDGMENTS for system, rels in zip(("ours", "wiki", "google"), lists, strict=True)]
+    return spark.createDataFrame(rows, "query string, system string, rels array<int>")
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------------------- SQL pieces
+
+_DOCS = "docs0 AS (SELECT doc_id, 'doc:' || doc_id AS url, source || '/' || doc_id AS title, text FROM documents WHERE text IS NOT NULL)"
+_TOK = f"{_DOCS}, tok AS MATERIALIZED (SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, lower(unnest(w)) AS word FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM docs0))"
+_TERM = f"{_TOK}, {stem_sql('tok')}, term AS MATERIALIZED (SELECT doc_id, pos, stem AS term FROM tok JOIN stems USING (word))"
+_POST = f"{_TERM}, post AS MATERIALIZED (SELECT term, doc_id, CAST(count(*) AS INT) AS tf, list(pos ORDER BY pos) AS positions FROM term GROUP BY term, doc_id)"
+_VOC = f"{_POST}, voc AS MATERIALIZED (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term), n AS (SELECT count(*) AS n FROM docs0)"
+
+
+def _with(t: str) -> str:
+    return f"(SELECT doc_id FROM post WHERE term = '{t}')"
+
+
+def _scores(words: list[str]) -> str:
+    values = ", ".join(f"('{w}')" for w in words)
+    return f"scores AS (SELECT doc_id, round(sum((1 + ln(tf)) * ln(n / df)), 9) AS score FROM (VALUES {values}) AS q(term) JOIN voc USING (term) JOIN post USING (term), n GROUP BY doc_id)"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+# ---------------------------------------------------------------------------- scans and tokens
+
+
+@query("corpus_scan", f"WITH {_DOCS} SELECT doc_id, url, title, length(text) AS n_chars FROM docs0")
+def _(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", "url", "title", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("tsv_parse", f"WITH {_DOCS}, line AS (SELECT CASE WHEN doc_id % 7 = 0 THEN title ELSE url || chr(9) || title || chr(9) || regexp_replace(text, '[\\t\\n\\r]', ' ', 'g') END AS value FROM docs0) "
+       "SELECT split_part(value, chr(9), 1) AS url, split_part(value, chr(9), 2) AS title, length(split_part(value, chr(9), 3)) AS n_chars FROM line WHERE len(string_split(value, chr(9))) >= 3")
+def _(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    good = S.to_tsv(docs.where("doc_id % 7 <> 0")).unionByName(docs.where("doc_id % 7 = 0").select(F.col("title").alias("value")))
+    return S.parse_tsv(good).select("url", "title", F.length("body").cast("long").alias("n_chars"))
+
+
+@query("doc_length", f"WITH {_DOCS} SELECT doc_id, url, title, CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS INT) AS length FROM docs0")
+def _(spark, sf_dir):
+    return I.doc_lengths(_docs(spark, sf_dir))
+
+
+@query("tokenize", f"WITH {_TERM} SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS terms, count(*) AS n FROM term GROUP BY doc_id")
+def _(spark, sf_dir):
+    found = T.tokens(_docs(spark, sf_dir))
+    return found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("t"), F.count("*").alias("n")).select("doc_id", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("terms"), "n")
+
+
+@query("positions", f"WITH {_TERM} SELECT doc_id, CAST(pos AS INT) AS pos, term FROM term")
+def _(spark, sf_dir):
+    return T.tokens(_docs(spark, sf_dir))
+
+
+@query("stem_vocab", f"WITH {_TOK}, {stem_sql('tok')} SELECT word, stem AS term FROM stems")
+def _(spark, sf_dir):
+    return T.stem_map(T.words(_docs(spark, sf_dir)))
+
+
+@query("unique_terms", f"WITH {_TERM} SELECT count(DISTINCT term) AS n FROM term")
+def _(spark, sf_dir):
+    return T.stem_map(T.words(_docs(spark, sf_dir))).agg(F.countDistinct("term").alias("n"))
+
+
+@query("vocab_stats", f"WITH {_VOC} SELECT count(*) AS n_terms, CAST(sum(length(term)) AS BIGINT) AS total_len FROM voc")
+def _(spark, sf_dir):
+    return A.vocab_stats(I.vocabulary(I.postings(_docs(spark, sf_dir))))
+
+
+@query("token_term_len", f"WITH {_VOC} SELECT round(sum(length(term) * cf) / sum(cf), 6) AS avg_token, round(avg(length(term)), 6) AS avg_term, round(avg(length(term)) - sum(length(term) * cf) / sum(cf), 6) AS difference FROM voc")
+def _(spark, sf_dir):
+    return A.token_term_len(I.vocabulary(I.postings(_docs(spark, sf_dir)))).select(*[F.round(c, 6).alias(c) for c in ("avg_token", "avg_term", "difference")])
+
+
+@query("corpus_summary", f"""WITH {_DOCS}, d AS (SELECT length(text) AS c, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n, length(array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), '')) AS l FROM docs0)
+    SELECT count(*) AS n_docs, CAST(sum(c) AS BIGINT) AS raw_chars, CAST(sum(c) AS BIGINT) AS text_chars, round(avg(c), 6) AS avg_raw, round(avg(c), 6) AS avg_text, CAST(sum(n) AS BIGINT) AS n_tokens, round(sum(l) / sum(n), 6) AS avg_token_len FROM d""")
+def _(spark, sf_dir):
+    found = A.corpus_summary(_docs(spark, sf_dir))
+    return found.select(*[F.round(c, 6).alias(c) if c.startswith("avg") else c for c in found.columns])
+
+
+@query("corpus_stats", f"WITH {_DOCS}, d AS (SELECT len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n FROM docs0) SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, round(avg(n), 6) AS avg_len FROM d")
+def _(spark, sf_dir):
+    return I.statistics(I.doc_lengths(_docs(spark, sf_dir))).withColumn("avg_len", F.round("avg_len", 6))
+
+
+# ---------------------------------------------------------------------------- index
+
+
+def _listed(col: str):
+    return F.array_join(F.transform(col, lambda x: x.cast("string")), " ")
+
+
+@query("inverted_index", f"WITH {_POST} SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions FROM post")
+def _(spark, sf_dir):
+    return I.postings(_docs(spark, sf_dir)).select("term", "doc_id", "tf", _listed("positions").alias("positions"))
+
+
+@query("term_freq", f"WITH {_POST} SELECT term, doc_id, tf FROM post")
+def _(spark, sf_dir):
+    return engine(spark, sf_dir).index.postings.select("term", "doc_id", "tf")
+
+
+@query("doc_freq", f"WITH {_VOC} SELECT term, df FROM voc")
+def _(spark, sf_dir):
+    return engine(spark, sf_dir).index.vocab.select("term", "df")
+
+
+@query("collection_freq", f"WITH {_VOC} SELECT term, cf FROM voc")
+def _(spark, sf_dir):
+    found = T.words(_docs(spark, sf_dir)).groupBy("word").count()
+    return found.select(stem(F.col("word")).alias("term"), "count").groupBy("term").agg(F.sum("count").alias("cf"))
+
+
+@query("position_gaps", f"WITH {_POST} SELECT term, doc_id, array_to_string(list_transform(positions, lambda p, i: CASE WHEN i = 1 THEN p ELSE p - positions[i - 1] END), ' ') AS gaps FROM post")
+def _(spark, sf_dir):
+    return A.position_gaps(engine(spark, sf_dir).index.postings).select("term", "doc_id", _listed("gaps").alias("gaps"))
+
+
+@query("term_lookup", f"WITH {_POST} SELECT doc_id FROM post WHERE term = 'attion'")
+def _(spark, sf_dir):
+    return engine(spark, sf_dir).lookup("attion")
+
+
+@query("term_postings", f"WITH {_POST} SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions FROM post WHERE term = 'thanedbl'")
+def _(spark, sf_dir):
+    return engine(spark, sf_dir).term_postings("thanedble").select("term", "doc_id", "tf", _listed("positions").alias("positions"))
+
+
+@query("term_meta", f"WITH {_VOC} SELECT term, df, cf FROM voc WHERE term IN ('the', 'attion', 'nicht')")
+def _(spark, sf_dir):
+    return engine(spark, sf_dir).index.vocab.where(F.col("term").isin("the", "attion", "nicht"))
+
+
+@query("doc_info", f"WITH {_DOCS}, q AS (SELECT unnest([0, 7, 99, 1000000000]) AS doc_id) SELECT q.doc_id, coalesce(url, '') AS url, coalesce(title, '') AS title FROM q LEFT JOIN docs0 USING (doc_id)")
+def _(spark, sf_dir):
+    asked = spark.createDataFrame([(i,) for i in (0, 7, 99, 10**9)], "doc_id int")
+    return asked.join(engine(spark, sf_dir).index.docs, "doc_id", "left").select(asked["doc_id"], F.coalesce("url", F.lit("")).alias("url"), F.coalesce("title", F.lit("")).alias("title"))
+
+
+# ---------------------------------------------------------------------------- boolean queries: matching ids
+
+_BOOLEAN = {
+    "bool_and": ("attion && ertion", f"{_with('attion')} INTERSECT {_with('ertion')}"),
+    "bool_or": ("thing || nicht", f"{_with('thing')} UNION {_with('nicht')}"),
+    "bool_not": ("!the", f"(SELECT doc_id FROM docs0) EXCEPT {_with('the')}"),
+    "bool_and_not": ("the && !and", f"{_with('the')} EXCEPT {_with('and')}"),
+    "bool_nested": ("(thing || nicht) && !(attion || !the)", f"(({_with('thing')} UNION {_with('nicht')}) INTERSECT {_with('the')}) EXCEPT {_with('attion')}"),
+    "bool_implicit": ("the attion && ertion", f"{_with('the')} INTERSECT {_with('attion')} INTERSECT {_with('ertion')}"),
+    "bool_double_not": ("!!thing || !!nicht", f"{_with('thing')} UNION {_with('nicht')}"),
+    "bool_missing_operand": ("the && && and || thing", _with("thing")),
+    "bool_phrase": ('"the and" && !attion', f"(SELECT DISTINCT a.doc_id FROM term AS a JOIN term AS b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'the' AND b.term = 'and') EXCEPT {_with('attion')}"),
+}
+
+
+def _boolean(text: str):
+    return lambda spark, sf_dir: engine(spark, sf_dir).matches(text).select("doc_id")
+
+
+for _name, (_text, _sql) in _BOOLEAN.items():
+    QUERIES[_name] = _boolean(_text)
+    ORACLES[_name] = f"WITH {_POST} SELECT doc_id FROM ({_sql})"
+
+# ---------------------------------------------------------------------------- phrases and proximity
+
+
+def _sequence(words: list[str], distance: int | None) -> str:
+    joins = "".join(f" JOIN term AS t{k} ON t{k}.doc_id = t0.doc_id AND t{k}.term = '{w}' AND " + (f"t{k}.pos = t0.pos + {k}" if distance is None else f"t{k}.pos > t{k - 1}.pos AND t{k}.pos <= t0.pos + {distance}") for k, w in enumerate(words) if k)
+    return f"SELECT DISTINCT t0.doc_id FROM term AS t0{joins} WHERE t0.term = '{words[0]}'"
+
+
+_PHRASES = {
+    "phrase": ('"the and"', _sequence(["the", "and"], None)),
+    "phrase_3": ('"the and attion"', _sequence(["the", "and", "attion"], None)),
+    "phrase_and_word": ('"the and" thing', f"({_sequence(['the', 'and'], None)}) INTERSECT {_with('thing')}"),
+    "phrase_guillemets": ("«of the»", _sequence(["of", "the"], None)),
+    "proximity": ('"the attion" / 4', _sequence(["the", "attion"], 4)),
+    "proximity_3": ('"the of and" / 8', _sequence(["the", "of", "and"], 8)),
+    "proximity_edge_n": ('"the of and" / 3', _sequence(["the", "of", "and"], None)),
+    "proximity_edge_below": ('"the of and" / 2', _sequence(["the", "of", "and"], None)),
+    "proximity_edge_above": ('"the of and" / 4', _sequence(["the", "of", "and"], 4)),
+    "proximity_too_near": ('"the of and" / 1', "SELECT doc_id FROM docs0 WHERE false"),
+}
+
+for _name, (_text, _sql) in _PHRASES.items():
+    QUERIES[_name] = _boolean(_text)
+    ORACLES[_name] = f"WITH {_POST} SELECT doc_id FROM ({_sql})"
+
+# ---------------------------------------------------------------------------- ranking
+
+_RANKED = "rank, doc_id, round(score, 6) AS score, title, url"
+_ORDER = "SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, * FROM"
+
+
+def _search(text: str, **how):
+    return lambda spark, sf_dir: _rounded(engine(spark, sf_dir).search(text, **how)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("tfidf", f"WITH {_VOC}, {_scores(['the', 'attion'])} SELECT doc_id, round(score, 6) AS score FROM scores")
+def _(spark, sf_dir):
+    return _rounded(engine(spark, sf_dir).matches("the attion"))
+
+
+@query("free_text", f"WITH {_VOC}, {_scores(['thing', 'nicht', 'attion'])} SELECT doc_id, round(score, 6) AS score FROM scores")
+def _(spark, sf_dir):
+    return _rounded(engine(spark, sf_dir).matches("(Thing nicht) attion"))
+
+
+@query("repeated_term", f"WITH {_VOC}, {_scores(['the', 'tabl', 'the'])} SELECT doc_id, round(score, 6) AS score FROM scores")
+def _(spark, sf_dir):
+    return _rounded(engine(spark, sf_dir).matches("the table the"))
+
+
+QUERIES["free_text_top"] = _search("the attion thing")
+ORACLES["free_text_top"] = f"WITH {_VOC}, {_scores(['the', 'attion', 'thing'])} SELECT {_RANKED} FROM ({_ORDER} scores JOIN docs0 USING (doc_id)) WHERE rank <= 50"
+QUERIES["bool_ranked"] = _search("the && (attion || !thing)")
+ORACLES["bool_ranked"] = (
+    f"WITH {_VOC}, {_scores(['the', 'attion', 'thing'])}, hit AS ({_with('the')} INTERSECT ({_with('attion')} UNION (SELECT doc_id FROM docs0 EXCEPT {_with('thing')}))) "
+    f"SELECT {_RANKED} FROM ({_ORDER} (SELECT doc_id, coalesce(s.score, 0) AS score, title, url FROM hit JOIN docs0 USING (doc_id) LEFT JOIN scores AS s USING (doc_id))) WHERE rank <= 50"
+)
+QUERIES["search_results"] = _search('"the and attion"')
+ORACLES["search_results"] = f"WITH {_POST} SELECT rank, doc_id, 0.0 AS score, title, url FROM (SELECT row_number() OVER (ORDER BY doc_id) AS rank, doc_id, title, url FROM ({_sequence(['the', 'and', 'attion'], None)}) JOIN docs0 USING (doc_id)) WHERE rank <= 50"
+ORACLES["search_results"] = ORACLES["search_results"].replace("0.0 AS score", "CAST(0 AS DOUBLE) AS score")
+
+
+@query("search_page", f"WITH {_VOC}, {_scores(['the', 'attion', 'thing'])} SELECT {_RANKED} FROM ({_ORDER} scores JOIN docs0 USING (doc_id)) WHERE rank BETWEEN 21 AND 40")
+def _(spark, sf_dir):
+    rows, _ = engine(spark, sf_dir).search_page("the attion thing", page=2, per_page=20)
+    return _rounded(rows).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("result_count", f"WITH {_POST} SELECT 'the' AS query, count(DISTINCT doc_id) AS n FROM post WHERE term = 'the' UNION ALL SELECT '!the', (SELECT count(*) FROM docs0) - count(DISTINCT doc_id) FROM post WHERE term = 'the'")
+def _(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    return e.matches("the").agg(F.count("*").alias("n")).select(F.lit("the").alias("query"), "n").unionByName(e.matches("!the").agg(F.count("*").alias("n")).select(F.lit("!the").alias("query"), "n"))
+
+
+_BATCH = {1: "the attion", 2: "Thing thing nicht", 3: "ertion of the", 4: "nosuchword"}
+
+
+@query("batch_search", f"WITH {_VOC}, q(query_id, term) AS (VALUES (1, 'the'), (1, 'attion'), (2, 'thing'), (2, 'thing'), (2, 'nicht'), (3, 'ertion'), (3, 'of'), (3, 'the')), "
+       "s AS (SELECT query_id, doc_id, round(sum((1 + ln(tf)) * ln(n / df)), 9) AS score FROM q JOIN voc USING (term) JOIN post USING (term), n GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) "
+       "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 50")
+def _(spark, sf_dir):
+    asked = spark.createDataFrame(list(_BATCH.items()), "query_id int, query string")
+    return _rounded(engine(spark, sf_dir).batch_free_text(asked)).withColumn("rank", F.col("rank").cast("long"))
+
+
+# ---------------------------------------------------------------------------- corpus statistics
+
+
+@query("top_terms", f"WITH {_VOC} SELECT term, cf FROM voc ORDER BY cf DESC, term LIMIT 10")
+def _(spark, sf_dir):
+    return A.top_terms(engine(spark, sf_dir).index.vocab)
+
+
+@query("zipf", f"WITH {_VOC} SELECT row_number() OVER (ORDER BY cf DESC, term) AS rank, term, cf, round((SELECT max(cf) FROM voc) / row_number() OVER (ORDER BY cf DESC, term), 6) AS expected FROM voc")
+def _(spark, sf_dir):
+    return A.zipf(engine(spark, sf_dir).index.vocab).withColumn("expected", F.round("expected", 6))
+
+
+# ---------------------------------------------------------------------------- ranking quality
+
+_JUDGED = "j(query, system, rels) AS (VALUES " + ", ".join(f"('{q}', '{s}', {list(r)})" for q, *lists in JUDGMENTS for s, r in zip(("ours", "wiki", "google"), lists, strict=True)) + ")"
+
+
+def _sum(k: int, rels: str) -> str:
+    return " + ".join(f"(2 ** {rels}[{i}] - 1) / log2({i + 1})" for i in range(1, k + 1))
+
+
+def _metric_sql(metric: str, k: int) -> str:
+    if metric == "p":
+        return "(" + " + ".join(f"CAST(rels[{i}] > 0 AS INT)" for i in range(1, k + 1)) + f") / {k}.0"
+    if metric == "dcg":
+        return _sum(k, "rels")
+    if metric == "ndcg":
+        best = _sum(k, "list_reverse_sort(rels)")
+        return f"CASE WHEN {best} = 0 THEN 0 ELSE ({_sum(k, 'rels')}) / ({best}) END"
+    top = "(2 ** greatest(list_max(rels), 1))"
+    stop = lambda i: f"((2 ** rels[{i}] - 1) / {top})"
+    return " + ".join(" * ".join([f"{stop(i)} / {i}.0", *[f"(1 - {stop(j)})" for j in range(1, i)]]) for i in range(1, k + 1))
+
+
+def _per_query(metric: str):
+    def run(spark, sf_dir):
+        found = E.per_query(judgments(spark), metric)
+        return found.select("query", "system", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
+
+    return run
+
+
+for _name, _metric in (("precision_at_k", "p"), ("dcg", "dcg"), ("ndcg", "ndcg"), ("err", "err")):
+    QUERIES[_name] = _per_query(_metric)
+    ORACLES[_name] = f"WITH {_JUDGED} SELECT query, system, " + ", ".join(f"round({_metric_sql(_metric, k)}, 6) AS {_metric}_{k}" for k in (1, 3, 5)) + " FROM j"
+
+
+@query("quality_metrics", f"WITH {_JUDGED} SELECT system, " + ", ".join(f"round(avg({_metric_sql(m, k)}), 6) AS {m}_{k}" for m in E.METRICS for k in (1, 3, 5)) + " FROM j GROUP BY system")
+def _(spark, sf_dir):
+    found = E.quality_metrics(judgments(spark))
+    return found.select("system", *[F.round(c, 6).alias(c) for c in found.columns[1:]])
+
+
+# ---------------------------------------------------------------------------- pages and URLs
+
+_ENTITIES = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+_STRIPPED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<!--.*?-->', ' ', 'gis'), '<[^>]+>', ' ', 'gis')"
+_SCHEME, _HOST, _PATH = "lower(regexp_extract(url, '^([^:]+)://', 1))", "lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1))", "regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1)"
+_QUERY = "regexp_extract(url, '(\\?[^#]*)', 1)"
+_NORMAL = f"({_SCHEME} || '://' || {_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || {_QUERY})"
+_LINKS = f"links AS (SELECT page_id, {_SCHEME} || '://' || {_HOST} || regexp_replace(unnest(regexp_extract_all(html, 'href\\s*=\\s*\"([^\"]+)\"', 1)), '#.*$', '') AS link FROM pages)"
+_EXT = f"regexp_extract(lower({_PATH}), '[^/.][^/]*(\\.[^./]*)$', 1)"
+_NO_PAGES = ", ".join(f"'{x}'" for x in H.SKIPPED)
+_BELOW = lambda *ds: "(" + " OR ".join(f"regexp_replace({_HOST}, ':.*$', '') = '{d}' OR ends_with(regexp_replace({_HOST}, ':.*$', ''), '.{d}')" for d in ds) + ")"
+
+
+@query("html_to_text", f"SELECT page_id, trim(regexp_replace({_ENTITIES.format(_STRIPPED)}, '\\s+', ' ', 'g')) AS text FROM pages")
+def _(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", H.html_to_text(F.col("html")).alias("text"))
+
+
+@query("html_title", "SELECT page_id, CASE WHEN regexp_matches(html, '<title[^>]*>.*?</title>', 'is') THEN trim(regexp_replace(" + _ENTITIES.format("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')") + ", '\\s+', ' ', 'g')) END AS title FROM pages")
+def _(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", H.html_title(F.col("html")).alias("title"))
+
+
+@query("extract_links", f"WITH {_LINKS} SELECT page_id, link FROM links")
+def _(spark, sf_dir):
+    return C.page_links(_pages(spark, sf_dir))
+
+
+@query("normalize_url", f"SELECT page_id, {_NORMAL} AS url FROM pages")
+def _(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", H.normalize_url(F.col("url")).alias("url"))
+
+
+@query("strip_query", "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages")
+def _(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", H.strip_query(F.col("url")).alias("url"))
+
+
+@query("domain_filter", f"SELECT page_id, url FROM pages WHERE {_BELOW('example.com', 'example.net')}")
+def _(spark, sf_dir):
+    return _pages(spark, sf_dir).where(H.domain_allowed(F.col("url"), ["Example.com ", "example.net"])).select("page_id", "url")
+
+
+@query("extension_filter", f"SELECT page_id, {_EXT} AS ext FROM pages WHERE {_EXT} NOT IN ({_NO_PAGES})")
+def _(spark, sf_dir):
+    return _pages(spark, sf_dir).where(H.page_like(F.col("url"))).select("page_id", H.extension(F.col("url")).alias("ext"))
+
+
+_WEB = C.Source(["example.com"], doc_url_regex="/[0-9]+", follow_url_regex="/(en|fr)(/|$)")
+
+
+@query("url_regex_filter", f"SELECT page_id, url, regexp_matches(url, '/[0-9]+') AS is_doc FROM pages WHERE {_BELOW('example.com')} AND {_EXT} NOT IN ({_NO_PAGES}) AND (regexp_matches(url, '/[0-9]+') OR regexp_matches(url, '/(en|fr)(/|$)'))")
+def _(spark, sf_dir):
+    return _pages(spark, sf_dir).where(_WEB.wanted(F.col("url"))).select("page_id", "url", _WEB.is_doc(F.col("url")).alias("is_doc"))
+
+
+@query("content_hash", "SELECT page_id, sha256(html) AS raw_sha256 FROM pages")
+def _(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", C.content_hash(F.col("html")).alias("raw_sha256"))
+
+
+@query("safe_name", "SELECT page_id, left(replace(trim(regexp_replace(regexp_replace(url, '^[^:]+://', ''), '[^\\p{L}\\p{N}_\\s-]', '', 'g')), ' ', '_'), 120) AS name FROM pages")
+def _(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", H.safe_name(F.regexp_replace("url", "^[^:]+://", "")).alias("name"))
+
+
+# ---------------------------------------------------------------------------- upkeep
+
+_NOW, _TTL = 100_000, 5_000
+_OLD = "old AS (SELECT url, CASE WHEN page_id % 5 = 0 THEN 'changed' ELSE sha256(html) END AS raw_sha256, 90000 + (page_id * 37) % 9000 AS fetched_at, CAST(1 AS BIGINT) AS checked_at FROM (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) WHERE page_id % 3 <> 0)"
+_NEW = f"new AS (SELECT url, sha256(html) AS raw_sha256, CAST({_NOW} AS BIGINT) AS fetched_at, CAST({_NOW} AS BIGINT) AS checked_at FROM (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) WHERE page_id % 2 = 0)"
+
+
+def _stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """What a crawl has stored before, and what it fetches now: one page a URL."""
+    first = C.quota(_pages(spark, sf_dir), "url", "page_id", 1)
+    old = first.where("page_id % 3 <> 0").select("url", F.when(F.col("page_id") % 5 == 0, "changed").otherwise(C.content_hash(F.col("html"))).alias("raw_sha256"), (90000 + (F.col("page_id") * 37) % 9000).alias("fetched_at"), F.lit(1).cast("long").alias("checked_at"))
+    new = first.where("page_id % 2 = 0").select("url", C.content_hash(F.col("html")).alias("raw_sha256"), F.lit(_NOW).cast("long").alias("fetched_at"), F.lit(_NOW).cast("long").alias("checked_at"))
+    return old, new
+
+
+@query("ttl_fresh", f"WITH {_OLD} SELECT url, {_NOW} - fetched_at < {_TTL} AS fresh FROM old")
+def _(spark, sf_dir):
+    return _stored(spark, sf_dir)[0].select("url", C.fresh(F.col("fetched_at"), _NOW, _TTL).alias("fresh"))
+
+
+@query("crawl_upsert", f"WITH {_OLD}, {_NEW} SELECT coalesce(n.url, o.url) AS url, CASE WHEN n.url IS NULL OR o.raw_sha256 = n.raw_sha256 THEN o.raw_sha256 ELSE n.raw_sha256 END AS raw_sha256, "
+       "CASE WHEN n.url IS NULL OR o.raw_sha256 = n.raw_sha256 THEN o.fetched_at ELSE n.fetched_at END AS fetched_at, coalesce(n.checked_at, o.checked_at) AS checked_at FROM old AS o FULL JOIN new AS n USING (url)")
+def _(spark, sf_dir):
+    return C.upsert(*_stored(spark, sf_dir))
+
+
+@query("import_new_only", f"WITH {_OLD}, {_NEW} SELECT url, raw_sha256 FROM new WHERE url NOT IN (SELECT url FROM old)")
+def _(spark, sf_dir):
+    return C.import_new(*_stored(spark, sf_dir)).select("url", "raw_sha256")
+
+
+@query("min_words_filter", "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS INT) AS n FROM documents WHERE len(regexp_extract_all(text, '\\S+')) >= 400")
+def _(spark, sf_dir):
+    return _docs(spark, sf_dir).where(C.enough_words(F.col("text"))).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("n"))
+
+
+@query("new_titles", f"WITH {_DOCS}, t AS (SELECT DISTINCT lower(regexp_replace(title, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g')) AS name FROM docs0 WHERE doc_id % 2 = 0), s AS (SELECT lower(regexp_replace(title, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g')) AS name FROM docs0 WHERE doc_id % 6 = 0) "
+       "SELECT name FROM t WHERE name NOT IN (SELECT name FROM s)")
+def _(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("doc_id", "title")
+    return C.new_titles(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 6 = 0")).select(F.lower(H.safe_name(F.col("title"))).alias("name"))
+
+
+@query("topic_quota", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5")
+def _(spark, sf_dir):
+    return C.quota(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "source", "doc_id", 5)
+
+
+@query("crawl_frontier", f"WITH {_LINKS}, seen AS (SELECT DISTINCT {_NORMAL} AS url FROM pages WHERE page_id < 20) "
+       f"SELECT DISTINCT link AS url FROM links JOIN (SELECT page_id, {_NORMAL} AS url FROM pages) AS p USING (page_id) WHERE p.url IN (SELECT url FROM seen) AND link NOT IN (SELECT url FROM seen)")
+def _(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    seeds = pages.where("page_id < 20").select(H.normalize_url(F.col("url")).alias("url"))
+    nothing = seeds.where("false")
+    everywhere = C.Source(["example.com", "example.net", "example.org"])
+    follow, _, _ = C.crawl_step(seeds, nothing, pages, everywhere, nothing.withColumn("fetched_at", F.lit(0)), _NOW, _TTL)
+    return follow

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Extensions of paths that aren't pages.
 SKIPPED = [".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".pdf", ".zip", ".rar", ".7z", ".tar", ".gz", ".mp3", ".mp4", ".avi", ".mov", ".css", ".js", ".ico"]
@@ -20,7 +21,7 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     from html import unescape
 
@@ -93,7 +94,7 @@ def page_like(url: Column) -> Column:
     return ~extension(url).isin(SKIPPED)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
     from urllib.parse import urljoin
 

@@ -16,14 +16,14 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_text_dir(spark: SparkSession, path: str, base_url: str) -> DataFrame:
-    """(url, title, text) of a folder of .txt articles: the title is the file's name with spaces for underscores."""
+    """(url, title, text) of a folder of .txt articles: the title is the file's name with spaces for underscores. Empty files have no row."""
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")
     found = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(F.col("value").alias("text"), name.alias("name"))
     return found.select(F.concat(F.lit(base_url), "name").alias("url"), F.replace("name", F.lit("_"), F.lit(" ")).alias("title"), "text")
 
 
 def text_dir_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(files, bytes) of a folder of .txt articles, without reading them."""
+    """(files, bytes) of the non-empty .txt articles of a folder, without reading them."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 

@@ -10,8 +10,8 @@ def test_text_dir(spark, tmp_path):
     (tmp_path / "b.txt").write_text("")
     (tmp_path / "c.json").write_text("{}")
     rows = sorted(map(tuple, S.read_text_dir(spark, str(tmp_path), "http://w/").collect()))
-    assert rows == [("http://w/Figure_skating", "Figure skating", "Title: x\n\nbody"), ("http://w/b", "b", "")]
-    assert tuple(S.text_dir_sizes(spark, str(tmp_path)).first()) == (2, 14)
+    assert rows == [("http://w/Figure_skating", "Figure skating", "Title: x\n\nbody")]
+    assert tuple(S.text_dir_sizes(spark, str(tmp_path)).first()) == (1, 14)
 
 
 def test_lines(spark, tmp_path):

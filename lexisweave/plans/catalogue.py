@@ -305,6 +305,37 @@ def _(spark, sf_dir):
     return _rounded(engine(spark, sf_dir).batch_free_text(asked)).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("unranked_first", f"WITH {_POST} SELECT row_number() OVER (ORDER BY doc_id) AS rank, doc_id, title, url FROM (SELECT DISTINCT doc_id FROM post WHERE term IN ('the', 'attion')) JOIN docs0 USING (doc_id) ORDER BY doc_id LIMIT 10")
+def _(spark, sf_dir):
+    return engine(spark, sf_dir).search("the || attion", limit=10, ranked=False).select(F.col("rank").cast("long").alias("rank"), "doc_id", "title", "url")
+
+
+@query("phrase_ranked", f"WITH {_VOC}, {_scores(['the', 'and'])}, hit AS ({_sequence(['the', 'and'], None)}) SELECT {_RANKED} FROM ({_ORDER} hit JOIN scores USING (doc_id) JOIN docs0 USING (doc_id)) WHERE rank <= 50")
+def _(spark, sf_dir):
+    return _rounded(engine(spark, sf_dir).search('"the and"', ranked=True)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("bool_scores", f"WITH {_VOC}, {_scores(['the', 'thing', 'the', 'attion'])}, hit AS ({_with('the')} UNION (SELECT doc_id FROM docs0 EXCEPT {_with('thing')})) SELECT doc_id, round(coalesce(scores.score, 0), 6) AS score FROM hit LEFT JOIN scores USING (doc_id)")
+def _(spark, sf_dir):
+    return _rounded(engine(spark, sf_dir).matches("the || !thing || (the attion)"))
+
+
+@query("point_lookup", f"WITH {_DOCS} SELECT doc_id, url FROM docs0 WHERE url IN ('doc:3', 'doc:77', 'doc:none')")
+def _(spark, sf_dir):
+    asked = spark.createDataFrame([("doc:3",), ("doc:77",), ("doc:none",)], "url string")
+    return engine(spark, sf_dir).index.docs.join(asked, "url", "left_semi").select("doc_id", "url")
+
+
+@query("doc_count", "SELECT count(*) AS n FROM documents WHERE text IS NOT NULL")
+def _(spark, sf_dir):
+    return _docs(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+@query("all_doc_ids", f"WITH {_DOCS} SELECT doc_id FROM docs0")
+def _(spark, sf_dir):
+    return engine(spark, sf_dir).index.docs.select("doc_id")
+
+
 # ---------------------------------------------------------------------------- corpus statistics
 
 
@@ -451,6 +482,15 @@ def _(spark, sf_dir):
     return C.upsert(*_stored(spark, sf_dir))
 
 
+@query("crawl_docs", f"SELECT {_NORMAL} AS url, sha256(html) AS raw_sha256, trim(regexp_replace({_ENTITIES.format(_STRIPPED)}, '\\s+', ' ', 'g')) AS parsed_text, {_NOW} AS fetched_at FROM pages WHERE {_BELOW('example.com')} AND regexp_matches({_NORMAL}, '/[0-9]+')")
+def _(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    seeds = pages.select(H.normalize_url(F.col("url")).alias("url"))
+    nothing = seeds.where("false")
+    _, _, docs = C.crawl_step(seeds, nothing, pages, C.Source(["example.com"], doc_url_regex="/[0-9]+"), nothing.withColumn("fetched_at", F.lit(0)), _NOW, _TTL)
+    return docs.select("url", "raw_sha256", "parsed_text", F.col("fetched_at").cast("int").alias("fetched_at"))
+
+
 @query("import_new_only", f"WITH {_OLD}, {_NEW} SELECT url, raw_sha256 FROM new WHERE url NOT IN (SELECT url FROM old)")
 def _(spark, sf_dir):
     return C.import_new(*_stored(spark, sf_dir)).select("url", "raw_sha256")

@@ -10,13 +10,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """URI of a new folder under spark.checkpoint.dir; where that is unset on a single machine, of a local folder set once."""
+    """URI of a new folder under spark.checkpoint.dir; where that is unset, under a local folder set once on a single machine, and else under the warehouse."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_lexisweave_dir", None)
     if not base:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = sc._lexisweave_dir = tempfile.mkdtemp(prefix="lexisweave-")
+        single = sc.master == "local" or sc.master.startswith("local[")
+        base = sc._lexisweave_dir = tempfile.mkdtemp(prefix="lexisweave-") if single else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         sc.setCheckpointDir(base)
     if not re.match(r"[a-z][a-z0-9+.-]*:", base):
         base = "file://" + base

@@ -176,8 +176,13 @@ def links(bucket: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int = R
             first = i if sides[i * LANES] == 0 else max(i, second)
             if sides[i * LANES] == 2:
                 break
-            for at in range(first, count, tile):
-                others = padded[at : at + tile]
+            # blocks that are already in one component with all of block i have no more to say
+            roots = np.array([forest.find(x) for x in range(s + i * LANES, s + size)])
+            own = roots[:LANES]
+            one = (own == own[0]).all()
+            ahead = np.array([k for k in range(first, count) if not (one and (roots[(k - i) * LANES : (k - i + 1) * LANES] == own[0]).all())], dtype=np.int64)
+            for at in range(0, len(ahead), tile):
+                others = padded[ahead[at : at + tile]]
                 yield from _compare(np.broadcast_to(padded[i], others.shape), others, bucket, side, fps, radius, forest)
 
 

@@ -60,6 +60,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = hashed.select("id", "len", "sha", *extra)
 
     groups = hashed.where("sha is not null").groupBy("len", "sha").agg(F.count("*").alias("n"), F.max("id").alias("keep")).where("n > 1")
+    groups = materialize(groups, "exact-groups")  # a table of its own, so that its join can be broadcast or a hot text split
     joined = hashed.join(groups, ["len", "sha"], "left")
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep"))
     return joined.select(

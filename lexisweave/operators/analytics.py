@@ -37,18 +37,25 @@ def top_terms(vocab: DataFrame, n: int = 10) -> DataFrame:
     return vocab.orderBy(F.desc("cf"), "term").limit(n).select("term", "cf")
 
 
-def ranked(rows: DataFrame, value: str, tie: str, partitions: int | None = None) -> DataFrame:
-    """rows with their rank by descending value and then tie, without a window over all rows in one task.
+def ranked(rows: DataFrame, value: str, tie: str, parts: int = 32) -> DataFrame:
+    """rows with their rank by descending value and then tie (neither null), without a window over all rows in one task.
 
-    Rows are ranged by the order, numbered within a partition, and shifted by the counts of the partitions before: one
-    small row for each partition is summed up.
+    A bounded sample gives the bounds of `parts` ranges of the order, as literals, so that every evaluation cuts alike. Rows are numbered
+    within their range and shifted by the counts of the ranges before it: one small row for each range is summed up. A value that most rows
+    share is cut by its ties.
     """
-    order = [F.desc(value), F.col(tie)]
-    ranged = (rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn("__local", local).join(F.broadcast(before), "__part").withColumn("rank", (F.col("__local") + F.col("__before")).cast("long")).drop("__part", "__local", "__before")
+    total = rows.count()
+    sample = rows.select(value, tie).sample(min(1.0, 50 * parts / max(1, total)), seed=7).limit(200 * parts).collect()
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    order = sorted(sorted((tuple(r) for r in sample), key=lambda r: r[1]), key=lambda r: r[0], reverse=True)
+    cuts = list(dict.fromkeys(order[len(order) * i // parts] for i in range(1, parts))) if order else []
+    bounds = [F.struct(F.lit(v).cast(kinds[value]).alias("v"), F.lit(k).cast(kinds[tie]).alias("k")) for v, k in cuts]
+    at = F.size(F.filter(F.array(*bounds), lambda b: (F.col(value) < b["v"]) | ((F.col(value) == b["v"]) & (F.col(tie) >= b["k"])))) if bounds else F.lit(0)
+    cut = rows.withColumn("__part", at)
+    counts = cut.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # at most `parts` rows
+    local = F.row_number().over(Window.partitionBy("__part").orderBy(F.desc(value), F.col(tie)))
+    return cut.withColumn("__local", local).join(F.broadcast(before), "__part").withColumn("rank", (F.col("__local") + F.col("__before")).cast("long")).drop("__part", "__local", "__before")
 
 
 def zipf(vocab: DataFrame) -> DataFrame:

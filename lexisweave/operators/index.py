@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from ..functions.text import raw_words, stem_map, words
 
 
-def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranged: bool = False, partitions: int | None = None) -> DataFrame:
     """(term, id, tf, positions): occurrences of each stem in each document, positions ascending.
 
     Words are grouped by document before anything else (a partial aggregate on the map side), their distinct
     forms are stemmed once, and the words of a stem are joined and grouped by (term, document): a frequent word is one small row a document.
+    ranged deals the rows out by ranges of (term, document) before that grouping, which then needs no shuffle of its own.
     """
-    by_word = words(corpus, id_col, text_col).groupBy("word", id_col).agg(F.collect_list("pos").alias("p"))
-    joined = by_word.join(stem_map(by_word), "word")
+    found = words(corpus, id_col, text_col)
+    by_word = found.groupBy("word", id_col).agg(F.collect_list("pos").alias("p"))
+    joined = by_word.join(stem_map(found), "word").select("term", id_col, "p")
+    if ranged:
+        joined = joined.repartitionByRange(partitions, "term", id_col) if partitions else joined.repartitionByRange("term", id_col)
     grouped = joined.groupBy("term", id_col).agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("positions"))
     return grouped.select("term", id_col, F.size("positions").alias("tf"), "positions")
 
@@ -45,13 +49,14 @@ class Index:
     postings: DataFrame  # term, doc_id, tf, positions
     vocab: DataFrame  # term, df, cf
     stats: DataFrame  # n_docs, n_tokens, avg_len
+    corpus: DataFrame | None = None  # what build() was given
 
     @classmethod
     def build(cls, corpus: DataFrame) -> Index:
         """Lazy index of corpus (doc_id, url, title, text)."""
         found = postings(corpus)
         docs = doc_lengths(corpus)
-        return cls(docs, found, vocabulary(found), statistics(docs))
+        return cls(docs, found, vocabulary(found), statistics(docs), corpus)
 
     def save(self, path: str, partitions: int | None = None) -> Index:
         """Write the tables under path and return them as read back.
@@ -60,9 +65,11 @@ class Index:
         that file statistics find. Vocabulary and statistics are taken from the written postings and docs.
         """
         spark = self.docs.sparkSession
-        by = [F.col("term"), F.col("doc_id")]
-        ranged = self.postings.repartitionByRange(partitions, *by) if partitions else self.postings.repartitionByRange(*by)
-        ranged.sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/postings")
+        if self.corpus is not None:
+            ranged = postings(self.corpus, ranged=True, partitions=partitions)
+        else:
+            ranged = self.postings.repartitionByRange(partitions, "term", "doc_id") if partitions else self.postings.repartitionByRange("term", "doc_id")
+        ranged.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         vocabulary(spark.read.parquet(f"{path}/postings").select("term", "tf")).write.mode("overwrite").parquet(f"{path}/vocab")
         statistics(spark.read.parquet(f"{path}/docs")).write.mode("overwrite").parquet(f"{path}/stats")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stemming import stem
+from ..functions.text import query_words
 from ..plans import query as Q
 from .index import Index
 
@@ -28,6 +29,7 @@ class SearchEngine:
         self.index = index
         self.spark = index.docs.sparkSession
         self._n: int | None = None
+        self._stems: dict[str, str] = {}
 
     @property
     def n_docs(self) -> int:
@@ -36,11 +38,13 @@ class SearchEngine:
         return self._n
 
     def stems(self, words: list[str]) -> dict[str, str]:
-        """Stem of each distinct word of a query, by the same expression as the index's."""
-        if not words:
-            return {}
-        rows = self.spark.createDataFrame([(w,) for w in sorted(set(words))], "word string")
-        return {r["word"]: r["term"] for r in rows.select("word", stem(F.col("word")).alias("term")).collect()}
+        """Stem of each distinct word of a query, by the same expression as the index's; as rows of literals it is folded on the driver, without a job."""
+        if len(self._stems) > 100_000:
+            self._stems.clear()
+        if new := sorted(set(words) - self._stems.keys()):
+            rows = self.spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}')" for w in new) + " AS t(word)")  # words are letters and digits
+            self._stems.update((r["word"], r["term"]) for r in rows.select("word", stem(F.col("word")).alias("term")).collect())
+        return {w: self._stems[w] for w in words}
 
     def df(self, terms: list[str]) -> dict[str, int]:
         """Document frequency of the terms that the vocabulary has; as many rows as the query has terms."""
@@ -52,7 +56,8 @@ class SearchEngine:
 
     def term_postings(self, word: str) -> DataFrame:
         """Postings of a word's stem."""
-        return self.index.postings.where(F.col("term") == self.stems([word.lower()]).get(word.lower(), ""))
+        asked = query_words(word)[:1]
+        return self.index.postings.where(F.col("term") == self.stems(asked)[asked[0]] if asked else F.lit(False))
 
     def matches(self, query: str) -> DataFrame:
         """(doc_id, score) of all documents that the query matches, in no order. score is 0 for phrases alone."""

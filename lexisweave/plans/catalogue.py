@@ -30,6 +30,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_documents(spark, sf_dir)
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for operators that cut texts into words."""
+    return S.spread(_docs(spark, sf_dir))
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
@@ -38,7 +43,7 @@ def engine(spark: SparkSession, sf_dir: str) -> SearchEngine:
     """Engine over the documents' index, which is built and saved once for a session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ENGINES:
-        _ENGINES[key] = SearchEngine(I.Index.build(_docs(spark, sf_dir)).save(scratch_dir(spark, "index")))
+        _ENGINES[key] = SearchEngine(I.Index.build(_texts(spark, sf_dir)).save(scratch_dir(spark, "index")))
     return _ENGINES[key]
 
 
@@ -102,33 +107,33 @@ def _(spark, sf_dir):
 
 @query("tokenize", f"WITH {_TERM} SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS terms, count(*) AS n FROM term GROUP BY doc_id")
 def _(spark, sf_dir):
-    found = T.tokens(_docs(spark, sf_dir))
+    found = T.tokens(_texts(spark, sf_dir))
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("t"), F.count("*").alias("n")).select("doc_id", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("terms"), "n")
 
 
 @query("positions", f"WITH {_TERM} SELECT doc_id, CAST(pos AS INT) AS pos, term FROM term")
 def _(spark, sf_dir):
-    return T.tokens(_docs(spark, sf_dir))
+    return T.tokens(_texts(spark, sf_dir))
 
 
 @query("stem_vocab", f"WITH {_TOK}, {stem_sql('tok')} SELECT word, stem AS term FROM stems")
 def _(spark, sf_dir):
-    return T.stem_map(T.words(_docs(spark, sf_dir)))
+    return T.stem_map(T.words(_texts(spark, sf_dir)))
 
 
 @query("unique_terms", f"WITH {_TERM} SELECT count(DISTINCT term) AS n FROM term")
 def _(spark, sf_dir):
-    return T.stem_map(T.words(_docs(spark, sf_dir))).agg(F.countDistinct("term").alias("n"))
+    return T.stem_map(T.words(_texts(spark, sf_dir))).agg(F.countDistinct("term").alias("n"))
 
 
 @query("vocab_stats", f"WITH {_VOC} SELECT count(*) AS n_terms, CAST(sum(length(term)) AS BIGINT) AS total_len FROM voc")
 def _(spark, sf_dir):
-    return A.vocab_stats(I.vocabulary(I.postings(_docs(spark, sf_dir))))
+    return A.vocab_stats(I.vocabulary(I.postings(_texts(spark, sf_dir))))
 
 
 @query("token_term_len", f"WITH {_VOC} SELECT round(sum(length(term) * cf) / sum(cf), 6) AS avg_token, round(avg(length(term)), 6) AS avg_term, round(avg(length(term)) - sum(length(term) * cf) / sum(cf), 6) AS difference FROM voc")
 def _(spark, sf_dir):
-    return A.token_term_len(I.vocabulary(I.postings(_docs(spark, sf_dir)))).select(*[F.round(c, 6).alias(c) for c in ("avg_token", "avg_term", "difference")])
+    return A.token_term_len(I.vocabulary(I.postings(_texts(spark, sf_dir)))).select(*[F.round(c, 6).alias(c) for c in ("avg_token", "avg_term", "difference")])
 
 
 @query("corpus_summary", f"""WITH {_DOCS}, d AS (SELECT length(text) AS c, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n, length(array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), '')) AS l FROM docs0)
@@ -152,7 +157,7 @@ def _listed(col: str):
 
 @query("inverted_index", f"WITH {_POST} SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions FROM post")
 def _(spark, sf_dir):
-    return I.postings(_docs(spark, sf_dir)).select("term", "doc_id", "tf", _listed("positions").alias("positions"))
+    return I.postings(_texts(spark, sf_dir)).select("term", "doc_id", "tf", _listed("positions").alias("positions"))
 
 
 @query("term_freq", f"WITH {_POST} SELECT term, doc_id, tf FROM post")
@@ -167,7 +172,7 @@ def _(spark, sf_dir):
 
 @query("collection_freq", f"WITH {_VOC} SELECT term, cf FROM voc")
 def _(spark, sf_dir):
-    found = T.words(_docs(spark, sf_dir)).groupBy("word").count()
+    found = T.words(_texts(spark, sf_dir)).groupBy("word").count()
     return found.select(stem(F.col("word")).alias("term"), "count").groupBy("term").agg(F.sum("count").alias("cf"))
 
 

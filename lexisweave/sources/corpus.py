@@ -15,6 +15,15 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def spread(scan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A file scan with at least as many partitions as there are cores: a few large row groups would else be cut into words by a few tasks.
+
+    Larger inputs have more splits than that and stay as they are. Only for plans without a shuffle, whose partitions are known beforehand.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, id_col) if scan._jdf.rdd().getNumPartitions() < cores else scan
+
+
 def read_text_dir(spark: SparkSession, path: str, base_url: str) -> DataFrame:
     """(url, title, text) of a folder of .txt articles: the title is the file's name with spaces for underscores. Empty files have no row."""
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable
@@ -25,6 +26,8 @@ SENSITIVE_BYTES = (b"passw", b"pwd", b"secret", b"token", b"key", b"credential",
 #: Characters before a candidate in which a sensitive word counts, characters of surroundings on each side that prime the
 #: compressor, and the least marginal compressed bytes per byte of the candidate.
 BEFORE, AROUND, NOVELTY = 48, 1024, 0.8
+#: Alphabets of keys by their number of characters: hexadecimal, base32, one case with digits; all others count as base64.
+ALPHABETS = ((16, re.compile("[0-9A-F]+|[0-9a-f]+")), (32, re.compile("[A-Z2-7]+|[a-z2-7]+")), (36, re.compile("[0-9A-Z]+|[0-9a-z]+")))
 
 #: What code and configuration commonly name: strings made of these compress well and are no news.
 IDENTIFIERS = (
@@ -73,6 +76,16 @@ def novelty_meter(level: int = 3) -> Callable[[bytes, bytes], float]:
     return measure
 
 
+def least_novelty(candidate: str, threshold: float = NOVELTY) -> float:
+    """The novelty a candidate must reach: threshold, or less where random text of its own alphabet can't cost that much.
+
+    Random text costs the logarithm of its alphabet and a few bytes (the start of a literal block), so long keys cost less a byte than short ones.
+    """
+    body = candidate.rstrip("=")
+    size = next((k for k, alphabet in ALPHABETS if alphabet.fullmatch(body)), 64)
+    return min(threshold, 0.96 * math.log2(size) / 8 + 6 / len(candidate))
+
+
 def novel_spans(text: str, raw: bytes, known: list[tuple[int, int, str]], measure: Callable[[bytes, bytes], float], threshold: float = NOVELTY) -> list[tuple[int, int, str, float]]:
     """Candidates after a sensitive word that hold digits and letters, overlap no known span and don't compress."""
     low = raw.lower()
@@ -89,7 +102,7 @@ def novel_spans(text: str, raw: bytes, known: list[tuple[int, int, str]], measur
             continue
         around = (text[max(0, s - AROUND) : s] + text[e : e + AROUND]).encode("utf-8", "replace")
         n = measure(around, candidate.encode())
-        if n >= threshold:
+        if n >= least_novelty(candidate, threshold):
             out.append((s, e, "novel", n))
     return out
 
@@ -100,7 +113,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", threshold: float = NOV
     Positions are code points, end exclusive. Kinds assign, access and hex are the fixed patterns (novelty null). novel adds runs of
     16 or more key characters that follow a sensitive word within BEFORE characters, mix letters with digits, and whose
     marginal compressed size, after the surrounding AROUND characters on each side and a dictionary of identifiers, is at least
-    `threshold` of their length. A null or empty text has none; repeated rows get equal spans, an empty table gives an
+    `threshold` of their length, or what random text of their alphabet costs if that is less (least_novelty). A null or empty text has none; repeated rows get equal spans, an empty table gives an
     empty result. result_col must not be a column of docs. Every row is finished where it is read; nothing is shuffled.
     """
     if result_col in docs.columns:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ KINDS = ("assign", "access", "hex", "novel")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"(?i)passw|pwd|secret|token|key|credential|auth|bearer|private|signature|cert|login|salt", re.ASCII)
 SENSITIVE_BYTES = (b"passw", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"bearer", b"private", b"signature", b"cert", b"login", b"salt")
+#: What may stand between two lines of one wrapped key.
+WRAP = re.compile(r"""[\x20\t"'+,\\]*\r?\n[\x20\t"'+]*""")
 #: Characters before a candidate in which a sensitive word counts, characters of surroundings on each side that prime the
 #: compressor, and the least marginal compressed bytes per byte of the candidate.
 BEFORE, AROUND, NOVELTY = 48, 1024, 0.8
@@ -93,25 +95,49 @@ def novel_spans(text: str, raw: bytes, known: list[tuple[int, int, str]], measur
         return []
     out = []
     ends, starts = sorted(e for _, e, _ in known), sorted(s for s, _, _ in known)
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if bisect_left(starts, e) > bisect_right(ends, s):  # a known span starts before the end and ends after the start
-            continue
-        candidate = m[0]
-        if not SENSITIVE.search(text, max(0, s - BEFORE), s) or not any(c.isdigit() for c in candidate) or not any(c.isalpha() for c in candidate):
-            continue
+
+    def measured(s: int, e: int, candidate: str) -> float | None:
+        """The novelty of a candidate at s to e if it is high enough."""
+        if not any(c.isdigit() for c in candidate) or not any(c.isalpha() for c in candidate):
+            return None
         around = (text[max(0, s - AROUND) : s] + text[e : e + AROUND]).encode("utf-8", "replace")
         n = measure(around, candidate.encode())
-        if n >= least_novelty(candidate, threshold):
-            out.append((s, e, "novel", n))
+        return n if n >= least_novelty(candidate, threshold) else None
+
+    free = (m.span() for m in CANDIDATE.finditer(text) if bisect_left(starts, m.end()) <= bisect_right(ends, m.start()))  # no known span starts before the end and ends after the start
+    for block in _blocks(text, free):
+        sensitive = [bool(SENSITIVE.search(text, max(0, s - BEFORE), s)) for s, _ in block]
+        if not any(sensitive):
+            continue
+        # the lines of a wrapped key surround each other with text like their own, so they are measured as one candidate
+        whole = measured(block[0][0], block[-1][1], "".join(text[s:e] for s, e in block)) if len(block) > 1 and sensitive[0] else None
+        for (s, e), named in zip(block, sensitive, strict=True):
+            n = whole if whole is not None else measured(s, e, text[s:e]) if named else None
+            if n is not None:
+                out.append((s, e, "novel", n))
     return out
 
 
+def _blocks(text: str, found: Iterable[tuple[int, int]]) -> Iterable[list[tuple[int, int]]]:
+    """Candidates by blocks: lines of one length, and a last one that may be shorter, with only a line break, indents and quotes between them."""
+    block: list[tuple[int, int]] = []
+    for s, e in found:
+        if block:
+            first, last = block[0][1] - block[0][0], block[-1][1] - block[-1][0]
+            if last == first >= e - s and s - block[-1][1] <= AROUND and WRAP.fullmatch(text, block[-1][1], s):
+                block.append((s, e))
+                continue
+            yield block
+        block = [(s, e)]
+    if block:
+        yield block
+
+
 def scan_secrets(docs: DataFrame, text_col: str = "text", threshold: float = NOVELTY, result_col: str = "secrets") -> DataFrame:
     """docs with one more column, array<struct<kind, start, end, novelty>> by start and kind: what looks secret in the whole text.
 
     Positions are code points, end exclusive. Kinds assign, access and hex are the fixed patterns (novelty null). novel adds runs of
-    16 or more key characters that follow a sensitive word within BEFORE characters, mix letters with digits, and whose
+    16 or more key characters that follow a sensitive word within BEFORE characters (of a key wrapped in lines of one length, its first line), mix letters with digits, and whose
     marginal compressed size, after the surrounding AROUND characters on each side and a dictionary of identifiers, is at least
     `threshold` of their length, or what random text of their alphabet costs if that is less (least_novelty). A null or empty text has none; repeated rows get equal spans, an empty table gives an
     empty result. result_col must not be a column of docs. Every row is finished where it is read; nothing is shuffled.

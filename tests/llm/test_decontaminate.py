@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from lexisweave.llm import decontaminate as D
 from lexisweave.llm.decontaminate import Matcher, find_benchmark_text, merge
 
 
@@ -71,3 +72,36 @@ def test_random_patterns():
 
 def test_merge():
     assert merge([(5, 7), (0, 2), (2, 3), (6, 6), (9, 10)]) == [(0, 3), (5, 7), (9, 10)]
+
+
+def test_large_benchmark_equals_brute_force(spark):
+    """Items of all lengths, texts hit by many windows with different numbers of spans, and tables so small that slots are shared."""
+    import random
+
+    rnd = random.Random(7)
+    make = lambda n: " ".join(rnd.choice("abcdefgh") for _ in range(n))
+    items = [(k, make(n)) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 14, 25, 25, 60])]
+    texts = [make(rnd.randint(0, 30)) for _ in range(30)] + [" z ".join([items[11][1], items[13][1], items[9][1], items[11][1], make(40)]), make(3) + " " + items[12][1], None, ""]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, item string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {i: (*plain(t, items), i) for i, t in enumerate(texts)}
+    assert len({n for _, n, *_ in want.values()}) > 5
+    for bits in (22, 6):
+        found = find_benchmark_text(docs, bench, block_bytes=10, shift_bits=bits).collect()
+        assert {r.doc_id: (r.hits.n_words, r.hits.n_hit, r.hits["items"], r.doc_id) for r in found} == want
+        assert all(sum(s.end - s.start for s in r.hits.spans) == r.hits.n_hit and [tuple(s) for s in r.hits.spans] == merge(map(tuple, r.hits.spans)) for r in found)
+
+
+def test_sieve_lets_every_window_through():
+    import random
+
+    rnd = random.Random(3)
+    for trial in range(200):
+        make = lambda n: [rnd.choice([b"a", b"b", b"c"]) for _ in range(n)]
+        items, window = [make(rnd.randint(1, 9)) for _ in range(rnd.randint(1, 5))], rnd.randint(1, 6)
+        sieve, text = D.Sieve(8 + trial % 8, 10), make(rnd.randint(0, 40))
+        for w in items:
+            sieve.add(D._word_hashes(w), min(window, len(w)))
+        found = {(m, s) for m, starts in sieve.candidates(D._word_hashes(text)) for s in starts.tolist()}
+        windows = {tuple(w[i : i + m]) for w in items for m in [min(window, len(w))] for i in range(len(w) - m + 1)}
+        assert found >= {(len(w), i) for w in windows for i in range(len(text) - len(w) + 1) if tuple(text[i : i + len(w)]) == w}

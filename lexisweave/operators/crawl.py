@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..sources.scratch import scratch_dir
 
 MIN_WORDS = 400
+#: A word of a text: white space is what Unicode calls so, and the four ASCII separators.
+UNICODE_WORD = r"(?U)[^\s\x1c-\x1f]+"
+#: Columns of a saved document.
+RECORD = ["url", "source", "raw_content", "raw_sha256", "parsed_text", "title", "fetched_at", "checked_at", "method"]
 
 
 def content_hash(raw: Column) -> Column:
@@ -49,9 +55,14 @@ def import_new(existing: DataFrame, found: DataFrame, key: str = "url") -> DataF
     return found.join(existing.select(key), key, "left_anti")
 
 
+def word_count(text: Column) -> Column:
+    """White-space separated words of a text, null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(UNICODE_WORD)), F.lit(0))
+
+
 def enough_words(text: Column, least: int = MIN_WORDS) -> Column:
     """Whether a text has at least so many white-space separated words."""
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))) >= least
+    return word_count(text) >= least
 
 
 def new_titles(found: DataFrame, seen: DataFrame, col: str = "title") -> DataFrame:
@@ -67,6 +78,64 @@ def quota(rows: DataFrame, group: str, order: str, most: int) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("__n") <= most).drop("__n")
 
 
+def within_target(rows: DataFrame, group: str, groups: Sequence[str], order: Sequence[str], per_group: int, target: int, have: int = 0) -> DataFrame:
+    """Rows that a collection takes which visits the groups in the order of `groups`: at most per_group of each, by order, until it holds target.
+
+    have is what it holds already. Rows of other groups are left out. Only one row a group is summed up in one place.
+    """
+    number = F.element_at(F.create_map(*[F.lit(x) for i, g in enumerate(groups) for x in (g, i)]), F.col(group))
+    numbered = rows.where(F.col(group).isin(list(groups))).withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__n") <= per_group)
+    taken = numbered.groupBy(group).agg(F.count("*").alias("__c"))
+    before = taken.select(group, (F.sum("__c").over(Window.orderBy(number)) - F.col("__c")).alias("__before"))  # one row a group
+    return numbered.join(F.broadcast(before), group).where(F.col("__n") + F.col("__before") <= target - have).drop("__n", "__before")
+
+
+def articles(found: DataFrame, seen: DataFrame, groups: Sequence[str], per_group: int, target: int, least: int = MIN_WORDS) -> DataFrame:
+    """(name, category, meta, article): what is stored of found (title, url, category, place, text).
+
+    Titles that are empty or hold a colon, texts of fewer than `least` words, and names that seen (name) has are left out; of repeated names
+    the first by group and place counts. meta is the JSON of title, url, category and word_count, article the text under its header lines.
+    """
+    number = F.element_at(F.create_map(*[F.lit(x) for i, g in enumerate(groups) for x in (g, i)]), F.col("category"))
+    good = found.where((F.col("title") != "") & ~F.col("title").contains(":") & enough_words(F.col("text"), least) & F.col("category").isin(list(groups)))
+    named = good.withColumn("name", H.safe_name(F.col("title"))).withColumn("__key", F.lower("name"))
+    new = named.join(seen.select(F.lower("name").alias("__key")).distinct(), "__key", "left_anti")
+    first = new.groupBy("__key").agg(F.min_by(F.struct(*found.columns, "name"), F.struct(number, "place", "url")).alias("r")).select("r.*")
+    taken = within_target(first, "category", groups, ["place", "url"], per_group, target, seen.select(F.lower("name")).distinct().count())
+    meta = F.to_json(F.struct("title", "url", "category", word_count(F.col("text")).alias("word_count")))
+    head = F.concat(F.lit("Title: "), "title", F.lit("\nURL: "), "url", F.lit("\nSource: Wikipedia\nCategory: "), "category", F.lit("\n\n"), "text")
+    return taken.select("name", "category", meta.alias("meta"), head.alias("article"))
+
+
+def write_articles(rows: DataFrame, folder: str) -> int:
+    """Write <name>.json (meta) and <name>.txt (article) of each row under raw/ and text/ of the folder; returns their number.
+
+    Files are written by the tasks under hidden names and moved into place, so a repeated task leaves no half of a file.
+    """
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        for sub in ("raw", "text"):
+            system.create_dir(f"{root}/{sub}", recursive=True)
+        n = 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                for path, value in ((f"{root}/raw/{r['name']}.json", r["meta"]), (f"{root}/text/{r['name']}.txt", r["article"])):
+                    part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+                    with system.open_output_stream(part) as out:
+                        out.write(value.encode("utf-8", "replace"))
+                    system.move(part, path)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return rows.select("name", "meta", "article").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 @dataclass(frozen=True)
 class Source:
     """Rules of a web source; patterns are searched anywhere in the URL, and an empty document pattern takes every page."""
@@ -76,6 +145,14 @@ class Source:
     follow_url_regex: str = ""
     seeds: list[str] = field(default_factory=list)
     max_articles: int = 0
+    name: str = "web"
+    method: str = "web"
+
+    @classmethod
+    def of(cls, settings: Mapping) -> Source:
+        """The source of one entry of a configuration's list; settings that are missing or empty have their default."""
+        known = {k: settings[k] for k in ("doc_url_regex", "follow_url_regex", "name", "method") if settings.get(k)}
+        return cls(list(settings.get("allowed_domains") or []), seeds=[str(s) for s in settings.get("seeds") or []], max_articles=int(settings.get("max_articles") or 0), **known)
 
     def is_doc(self, url: Column) -> Column:
         return url.rlike(self.doc_url_regex) if self.doc_url_regex else F.lit(True)
@@ -91,18 +168,96 @@ def page_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.explode(H.hrefs(F.col("html"))).alias("href")).select("page_id", H.links(F.col("url"), F.col("href")).alias("link")).where("link is not null")
 
 
+def seed_frontier(spark: SparkSession, source: Source) -> DataFrame:
+    """(url, place): the source's seeds, normalised, in their order."""
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(source.seeds)], "i long, s string")
+    return rows.select(H.normalize_url(F.col("s")).alias("url"), F.array("i").alias("place")).where("url is not null")
+
+
 def crawl_step(frontier: DataFrame, visited: DataFrame, pages: DataFrame, source: Source, existing: DataFrame, now: int, ttl: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round of a breadth-first crawl: (next frontier, visited, documents to save).
+    """One round of a breadth-first crawl: (next frontier, visited, documents fetched).
 
-    frontier and visited hold urls, pages (page_id, url, html) what a fetch returns. A page is visited once, if wanted. Its links are
-    followed whether or not it is a document; a fresh document isn't saved again.
+    frontier (url, and place where it is known) and visited hold urls, pages (page_id, url, html) what a fetch returns. A page is visited
+    once, if wanted. Its links are followed whether or not it is a document. A document's url is the page's without its query; of a round's
+    pages with one document url the first by place and then url counts, and a document that is fresh in existing (url, fetched_at) isn't fetched.
+
+    place is an array of numbers: the seed's number, then that of each link on its page. Its order is the order of a queue's visits within a round.
+    """
+    if "place" not in frontier.columns:
+        frontier = frontier.withColumn("place", F.array().cast("array<bigint>"))
+    todo = frontier.groupBy("url").agg(F.min("place").alias("place")).join(visited.select("url"), "url", "left_anti").where(source.wanted(F.col("url")))
+    seen = visited.select("url").unionByName(todo.select("url"))
+    got = pages.select(H.normalize_url(F.col("url")).alias("url"), "html").join(todo, "url")
+    found = got.select("url", "place", F.posexplode(H.hrefs(F.col("html"))).alias("at", "href")).select(H.links(F.col("url"), F.col("href")).alias("link"), F.concat("place", F.array(F.col("at").cast("long"))).alias("place")).where("link is not null")
+    follow = found.groupBy(F.col("link").alias("url")).agg(F.min("place").alias("place")).join(seen, "url", "left_anti")
+    first = got.where(source.is_doc(F.col("url"))).groupBy(H.strip_query(F.col("url")).alias("doc")).agg(F.min_by(F.struct("html", "place"), F.struct("place", "url", F.xxhash64("html"))).alias("p"))
+    current = existing.where(fresh(F.col("fetched_at"), now, ttl)).select(F.col("url").alias("doc"))
+    docs = first.join(current, "doc", "left_anti").select(
+        F.col("doc").alias("url"), F.col("p.html").alias("raw_content"), content_hash(F.col("p.html")).alias("raw_sha256"), H.html_to_text(F.col("p.html")).alias("parsed_text"), H.html_title(F.col("p.html")).alias("title"),
+        F.lit(now).cast("long").alias("fetched_at"), F.lit(now).cast("long").alias("checked_at"), F.col("p.place").alias("place"))
+    return follow, seen, docs
+
+
+def records(docs: DataFrame, source: Source) -> DataFrame:
+    """Documents of crawl_step as saved: with the source's name, the method, and the url as title where the page has none."""
+    title = F.when(F.coalesce(F.col("title"), F.lit("")) == "", F.col("url")).otherwise(F.col("title"))
+    return docs.withColumn("title", title).withColumn("source", F.lit(source.name)).withColumn("method", F.lit("web")).select(*RECORD)
+
+
+def crawl(pages: DataFrame, source: Source, existing: DataFrame, now: int, ttl: int, seeds: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+    """existing (columns RECORD) after a breadth-first crawl from the source's seeds, or from seeds (url, place), until no page is left.
+
+    max_articles, where it is over 0, ends the crawl at the page that saves so many documents: content that is new or has changed counts,
+    a document that is fresh or only checked doesn't. Every round is written to the shared folder, so plans stay short; rounds are as
+    many as the longest chain of links. Only counts and one place of a round reach the driver.
     """
-    todo = frontier.select("url").distinct().join(visited, "url", "left_anti").where(source.wanted(F.col("url")))
-    seen = visited.select("url").unionByName(todo)
-    got = pages.withColumn("url", H.normalize_url(F.col("url"))).join(todo, "url", "left_semi")
-    follow = page_links(got).select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti")
-    docs = got.where(source.is_doc(F.col("url"))).select(
-        "url", content_hash(F.col("html")).alias("raw_sha256"), H.html_to_text(F.col("html")).alias("parsed_text"), H.html_title(F.col("html")).alias("title"),
-        F.lit(now).cast("long").alias("fetched_at"), F.lit(now).cast("long").alias("checked_at"))
-    current = existing.where(fresh(F.col("fetched_at"), now, ttl)).select("url")
-    return follow, seen, docs.join(current, "url", "left_anti")
+    spark = pages.sparkSession
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        path = scratch_dir(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    frontier = written(seeds if seeds is not None else seed_frontier(spark, source), "crawl-seeds")
+    visited, saved = frontier.select("url").where("false"), 0
+    collection = existing.select(*RECORD)
+    for n in range(max_rounds):
+        follow, seen, docs = crawl_step(frontier, visited, pages, source, collection, now, ttl)
+        docs = written(docs, f"crawl-docs-{n}")
+        changed = docs.join(collection.select("url", "raw_sha256"), ["url", "raw_sha256"], "left_anti")
+        count = changed.count()
+        last = source.max_articles and saved + count >= source.max_articles
+        if last:
+            # the page that saves the last document ends the crawl
+            end = changed.orderBy("place", "url").limit(source.max_articles - saved).agg(F.max(F.struct("place", "url")).alias("end"))
+            docs = docs.join(F.broadcast(end)).where(F.struct("place", "url") <= F.col("end")).drop("end")
+        collection = written(upsert(collection, records(docs, source)), f"crawl-collection-{n}")
+        if last:
+            return collection
+        saved += count
+        visited, frontier = written(seen, f"crawl-visited-{n}"), written(follow, f"crawl-frontier-{n}")
+        if frontier.isEmpty():
+            return collection
+    raise RuntimeError(f"the crawl did not end after {max_rounds} rounds")
+
+
+def crawl_sources(pages: DataFrame, config: Mapping, existing: DataFrame, now: int, only: str = "") -> DataFrame:
+    """existing after crawls of the configuration's sources in their order, or of the one named `only`. Entries that aren't mappings and sources of the encyclopedia's API are passed over."""
+    ttl = int((config.get("crawler") or {}).get("cache_ttl_s") or 0)
+    for settings in config.get("sources") or []:
+        if not isinstance(settings, Mapping) or only and settings.get("name", "") != only:
+            continue
+        source = Source.of(settings)
+        if source.method != "wikipedia":
+            existing = crawl(pages, source, existing, now, ttl)
+    return existing
+
+
+def write_collection(docs: DataFrame, path: str) -> None:
+    """Saved documents in folders by source, each sorted by fetched_at so that file statistics find a span of time. A source may be spread over many tasks."""
+    docs.repartitionByRange("source", "fetched_at", "url").sortWithinPartitions("source", "fetched_at").write.mode("overwrite").partitionBy("source").parquet(path)
+
+
+def collection_between(spark: SparkSession, path: str, sources: Iterable[str], since: int, until: int) -> DataFrame:
+    """Saved documents of the sources fetched at since or later and before until; other sources' folders aren't listed, and row groups are pruned by time."""
+    return spark.read.parquet(path).where(F.col("source").isin(list(sources)) & (F.col("fetched_at") >= since) & (F.col("fetched_at") < until))

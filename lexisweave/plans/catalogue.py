@@ -464,16 +464,20 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------------------- upkeep
 
 _NOW, _TTL = 100_000, 5_000
-_OLD = "old AS (SELECT url, CASE WHEN page_id % 5 = 0 THEN 'changed' ELSE sha256(html) END AS raw_sha256, 90000 + (page_id * 37) % 9000 AS fetched_at, CAST(1 AS BIGINT) AS checked_at FROM (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) WHERE page_id % 3 <> 0)"
-_NEW = f"new AS (SELECT url, sha256(html) AS raw_sha256, CAST({_NOW} AS BIGINT) AS fetched_at, CAST({_NOW} AS BIGINT) AS checked_at FROM (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) WHERE page_id % 2 = 0)"
+_FIRST = lambda key: f"(SELECT *, {key} AS key FROM pages QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY page_id) = 1)"
+_NO_QUERY = "regexp_replace(url, '[?#].*$', '')"
+_OLD = f"old AS (SELECT key AS url, CASE WHEN page_id % 5 = 0 THEN 'changed' ELSE sha256(html) END AS raw_sha256, 90000 + (page_id * 37) % 9000 AS fetched_at, CAST(1 AS BIGINT) AS checked_at FROM {_FIRST(_NO_QUERY)})"
+_NEW = f"new AS (SELECT key AS url, sha256(html) AS raw_sha256, CAST({_NOW} AS BIGINT) AS fetched_at, CAST({_NOW} AS BIGINT) AS checked_at FROM {_FIRST('url')})"
+_OLD_HASH, _OLD_TIME = F.when(F.col("page_id") % 5 == 0, "changed"), 90000 + (F.col("page_id") * 37) % 9000
 
 
 def _stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """What a crawl has stored before, and what it fetches now: one page a URL."""
-    first = C.quota(_pages(spark, sf_dir), "url", "page_id", 1)
-    old = first.where("page_id % 3 <> 0").select("url", F.when(F.col("page_id") % 5 == 0, "changed").otherwise(C.content_hash(F.col("html"))).alias("raw_sha256"), (90000 + (F.col("page_id") * 37) % 9000).alias("fetched_at"), F.lit(1).cast("long").alias("checked_at"))
-    new = first.where("page_id % 2 = 0").select("url", C.content_hash(F.col("html")).alias("raw_sha256"), F.lit(_NOW).cast("long").alias("fetched_at"), F.lit(_NOW).cast("long").alias("checked_at"))
-    return old, new
+    """What a crawl has stored before, under URLs without a query, and what it fetches now under whole URLs: one page a URL."""
+    pages = _pages(spark, sf_dir)
+    old = C.quota(pages.withColumn("url", H.strip_query(F.col("url"))), "url", "page_id", 1)
+    new = C.quota(pages, "url", "page_id", 1)
+    old = old.select("url", _OLD_HASH.otherwise(C.content_hash(F.col("html"))).alias("raw_sha256"), _OLD_TIME.alias("fetched_at"), F.lit(1).cast("long").alias("checked_at"))
+    return old, new.select("url", C.content_hash(F.col("html")).alias("raw_sha256"), F.lit(_NOW).cast("long").alias("fetched_at"), F.lit(_NOW).cast("long").alias("checked_at"))
 
 
 @query("ttl_fresh", f"WITH {_OLD} SELECT url, {_NOW} - fetched_at < {_TTL} AS fresh FROM old")
@@ -487,30 +491,108 @@ def _(spark, sf_dir):
     return C.upsert(*_stored(spark, sf_dir))
 
 
-@query("crawl_docs", f"SELECT {_NORMAL} AS url, sha256(html) AS raw_sha256, trim(regexp_replace({_ENTITIES.format(_STRIPPED)}, '\\s+', ' ', 'g')) AS parsed_text, {_NOW} AS fetched_at FROM pages WHERE {_BELOW('example.com')} AND regexp_matches({_NORMAL}, '/[0-9]+')")
+@query("import_new_only", f"WITH {_OLD}, {_NEW} SELECT url, raw_sha256 FROM new WHERE url NOT IN (SELECT url FROM old)")
+def _(spark, sf_dir):
+    return C.import_new(*_stored(spark, sf_dir)).select("url", "raw_sha256")
+
+
+# ---------------------------------------------------------------------------- crawls
+# The oracle follows the crawler that visits a queue page by page: seeds are all pages by page_id; a page of an allowed domain that is no file
+# and whose whole URL matches the document pattern is saved under its URL without the query, unless that document is fresh.
+
+_SEEN_TEXT = f"trim(regexp_replace({_ENTITIES.format(_STRIPPED)}, '\\s+', ' ', 'g'))"
+_SEEN_TITLE = "trim(regexp_replace(" + _ENTITIES.format("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')") + ", '\\s+', ' ', 'g'))"
+
+
+def _visits(*domains: str) -> str:
+    """CTE visit(page_id, url, html): the page that each document is taken from, which is the first in the queue."""
+    whole = f"(SELECT page_id, html, {_NORMAL} AS url FROM pages)"
+    taken = f"{_BELOW(*domains)} AND {_EXT} NOT IN ({_NO_PAGES}) AND regexp_matches(url, '/[0-9]+')"
+    return f"visit AS (SELECT page_id, {_NO_QUERY} AS url, html FROM {whole} WHERE {taken} QUALIFY row_number() OVER (PARTITION BY {_NO_QUERY} ORDER BY page_id) = 1)"
+
+
+def _seeds(pages: DataFrame) -> DataFrame:
+    return pages.select(H.normalize_url(F.col("url")).alias("url"), F.array("page_id").alias("place"))
+
+
+_NUMBERED = C.Source(["example.com"], doc_url_regex="/[0-9]+")
+
+
+@query("crawl_docs", f"WITH {_visits('example.com')} SELECT url, sha256(html) AS raw_sha256, {_SEEN_TEXT} AS parsed_text, coalesce(nullif({_SEEN_TITLE}, ''), url) AS title, 'web' AS source, {_NOW} AS fetched_at FROM visit")
 def _(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    seeds = pages.select(H.normalize_url(F.col("url")).alias("url"))
-    nothing = seeds.where("false")
-    _, _, docs = C.crawl_step(seeds, nothing, pages, C.Source(["example.com"], doc_url_regex="/[0-9]+"), nothing.withColumn("fetched_at", F.lit(0)), _NOW, _TTL)
-    return docs.select("url", "raw_sha256", "parsed_text", F.col("fetched_at").cast("int").alias("fetched_at"))
+    nothing = _seeds(pages).where("false")
+    _, _, docs = C.crawl_step(_seeds(pages), nothing, pages, _NUMBERED, nothing.withColumn("fetched_at", F.lit(0)), _NOW, _TTL)
+    return C.records(docs, _NUMBERED).select("url", "raw_sha256", "parsed_text", "title", "source", F.col("fetched_at").cast("int").alias("fetched_at"))
 
 
-@query("import_new_only", f"WITH {_OLD}, {_NEW} SELECT url, raw_sha256 FROM new WHERE url NOT IN (SELECT url FROM old)")
+_EVERYWHERE = ["example.com", "example.net", "example.org"]
+_MOST = 40
+_HELD = (
+    f"held AS (SELECT key AS url, 'old' AS source, CASE WHEN page_id % 5 = 0 THEN 'changed' ELSE sha256(html) END AS raw_sha256, CAST('before' AS VARCHAR) AS title, CAST(90000 + (page_id * 37) % 9000 AS BIGINT) AS fetched_at "
+    f"FROM (SELECT page_id, html, regexp_replace({_NORMAL}, '[?#].*$', '') AS key FROM pages) QUALIFY row_number() OVER (PARTITION BY key ORDER BY page_id) = 1)"
+)
+
+
+def _collection_sql(limit: str) -> str:
+    """Documents held before and after a crawl of all pages, of which the last saves the limit's last document."""
+    return (
+        f"WITH {_visits(*_EVERYWHERE)}, {_HELD}, due AS (SELECT v.*, h.url IS NULL OR h.raw_sha256 <> sha256(html) AS save FROM visit AS v LEFT JOIN held AS h USING (url) WHERE h.url IS NULL OR {_NOW} - h.fetched_at >= {_TTL}), "
+        f"done AS (SELECT * FROM (SELECT *, sum(CAST(save AS INT)) OVER (ORDER BY page_id) - CAST(save AS INT) AS before FROM due){limit}) "
+        f"SELECT coalesce(d.url, h.url) AS url, CASE WHEN save THEN 'web' ELSE source END AS source, CASE WHEN save THEN sha256(html) ELSE raw_sha256 END AS raw_sha256, "
+        f"CASE WHEN save THEN coalesce(nullif({_SEEN_TITLE}, ''), d.url) ELSE title END AS title, CASE WHEN save THEN {_NOW} ELSE fetched_at END AS fetched_at, CASE WHEN d.url IS NULL THEN 1 ELSE {_NOW} END AS checked_at "
+        "FROM done AS d FULL JOIN held AS h ON d.url = h.url"
+    )
+
+
+def _collected(most: int):
+    def run(spark, sf_dir):
+        pages = _pages(spark, sf_dir)
+        first = C.quota(pages.select("page_id", H.strip_query(H.normalize_url(F.col("url"))).alias("url"), "html"), "url", "page_id", 1)
+        held = first.select(
+            "url", F.lit("old").alias("source"), F.col("html").alias("raw_content"), _OLD_HASH.otherwise(C.content_hash(F.col("html"))).alias("raw_sha256"), F.lit("").alias("parsed_text"),
+            F.lit("before").alias("title"), _OLD_TIME.alias("fetched_at"), F.lit(1).cast("long").alias("checked_at"), F.lit("web").alias("method"))
+        source = C.Source(_EVERYWHERE, doc_url_regex="/[0-9]+", max_articles=most)
+        return C.crawl(pages, source, held, _NOW, _TTL, _seeds(pages)).select("url", "source", "raw_sha256", "title", F.col("fetched_at").cast("long").alias("fetched_at"), F.col("checked_at").cast("int").alias("checked_at"))
+
+    return run
+
+
+QUERIES["crawl_collection"], ORACLES["crawl_collection"] = _collected(0), _collection_sql("")
+QUERIES["crawl_limited"], ORACLES["crawl_limited"] = _collected(_MOST), _collection_sql(f" WHERE before < {_MOST}")
+
+
+@query("crawl_frontier", f"WITH {_LINKS}, seen AS (SELECT DISTINCT {_NORMAL} AS url FROM pages) SELECT DISTINCT link AS url FROM links WHERE link NOT IN (SELECT url FROM seen)")
 def _(spark, sf_dir):
-    return C.import_new(*_stored(spark, sf_dir)).select("url", "raw_sha256")
+    pages = _pages(spark, sf_dir)
+    nothing = _seeds(pages).where("false")
+    follow, _, _ = C.crawl_step(_seeds(pages), nothing, pages, C.Source(_EVERYWHERE), nothing.withColumn("fetched_at", F.lit(0)), _NOW, _TTL)
+    return follow.select("url")
 
 
-@query("min_words_filter", "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS INT) AS n FROM documents WHERE len(regexp_extract_all(text, '\\S+')) >= 400")
+@query("collection_by_source", f"WITH c AS (SELECT url, split_part({_HOST}, '.', -1) AS source, CAST(90000 + (page_id * 37) % 9000 AS BIGINT) AS fetched_at FROM pages) SELECT * FROM c WHERE source IN ('com', 'org') AND fetched_at >= 92000 AND fetched_at < 96000")
 def _(spark, sf_dir):
-    return _docs(spark, sf_dir).where(C.enough_words(F.col("text"))).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("n"))
+    path = scratch_dir(spark, "collection")
+    C.write_collection(_pages(spark, sf_dir).select("url", F.element_at(F.split(H.host(F.col("url")), r"\."), -1).alias("source"), _OLD_TIME.cast("long").alias("fetched_at")), path)
+    return C.collection_between(spark, path, ["com", "org"], 92_000, 96_000).select("source", "fetched_at", "url")
 
 
-@query("new_titles", f"WITH {_DOCS}, t AS (SELECT DISTINCT lower(regexp_replace(title, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g')) AS name FROM docs0 WHERE doc_id % 2 = 0), s AS (SELECT lower(regexp_replace(title, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g')) AS name FROM docs0 WHERE doc_id % 6 = 0) "
-       "SELECT name FROM t WHERE name NOT IN (SELECT name FROM s)")
+# ---------------------------------------------------------------------------- articles
+
+_UNICODE_WORDS = r"len(regexp_extract_all(text, '[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'))"
+_NAME = lambda c: f"replace(trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g')), ' ', '_')"
+
+
+@query("min_words_filter", f"SELECT doc_id, CAST({_UNICODE_WORDS} AS INT) AS n FROM documents WHERE {_UNICODE_WORDS} >= 400")
 def _(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id", "title")
-    return C.new_titles(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 6 = 0")).select(F.lower(H.safe_name(F.col("title"))).alias("name"))
+    return _docs(spark, sf_dir).where(C.enough_words(F.col("text"))).select("doc_id", C.word_count(F.col("text")).alias("n"))
+
+
+@query("new_titles", f"WITH t AS (SELECT DISTINCT lower({_NAME("lang || ' ' || doc_id")}) AS name FROM documents WHERE text IS NOT NULL) SELECT name FROM t WHERE name NOT IN (SELECT lower({_NAME("'EN ' || page_id")}) FROM pages)")
+def _(spark, sf_dir):
+    found = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select(F.concat_ws(" ", "lang", "doc_id").alias("title"))
+    seen = _pages(spark, sf_dir).select(F.concat(F.lit("EN "), F.col("page_id").cast("string")).alias("title"))
+    return C.new_titles(found, seen).select(F.lower(H.safe_name(F.col("title"))).alias("name"))
 
 
 @query("topic_quota", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5")
@@ -518,12 +600,17 @@ def _(spark, sf_dir):
     return C.quota(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "source", "doc_id", 5)
 
 
-@query("crawl_frontier", f"WITH {_LINKS}, seen AS (SELECT DISTINCT {_NORMAL} AS url FROM pages WHERE page_id < 20) "
-       f"SELECT DISTINCT link AS url FROM links JOIN (SELECT page_id, {_NORMAL} AS url FROM pages) AS p USING (page_id) WHERE p.url IN (SELECT url FROM seen) AND link NOT IN (SELECT url FROM seen)")
+_TOPICS, _PER_TOPIC, _TARGET = ["de", "en", "fr", "es"], 60, 130
+
+
+@query("articles", f"""WITH good AS (SELECT doc_id, lang, lang || ' ' || doc_id // 2 AS title, {_NAME("lang || ' ' || doc_id // 2")} AS name, {_UNICODE_WORDS} AS n, list_position({_TOPICS}, lang) AS topic, text FROM documents WHERE lang IN ({", ".join(f"'{t}'" for t in _TOPICS)}) AND {_UNICODE_WORDS} >= 400),
+    seen AS (SELECT DISTINCT lower({_NAME("'EN ' || page_id")}) AS name FROM pages WHERE page_id IS NOT NULL),
+    first AS (SELECT * FROM good WHERE lower(name) NOT IN (SELECT name FROM seen) QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY topic, doc_id) = 1),
+    most AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY topic ORDER BY doc_id) <= {_PER_TOPIC}),
+    taken AS (SELECT * FROM most QUALIFY row_number() OVER (ORDER BY topic, doc_id) <= {_TARGET} )
+    SELECT name, lang AS category, '{{"title":"' || title || '","url":"doc:' || doc_id || '","category":"' || lang || '","word_count":' || n || '}}' AS meta, 'Title: ' || title || chr(10) || 'URL: doc:' || doc_id || chr(10) || 'Source: Wikipedia' || chr(10) || 'Category: ' || lang || chr(10) || chr(10) || text AS article FROM taken""")
 def _(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    seeds = pages.where("page_id < 20").select(H.normalize_url(F.col("url")).alias("url"))
-    nothing = seeds.where("false")
-    everywhere = C.Source(["example.com", "example.net", "example.org"])
-    follow, _, _ = C.crawl_step(seeds, nothing, pages, everywhere, nothing.withColumn("fetched_at", F.lit(0)), _NOW, _TTL)
-    return follow
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = docs.select(F.concat(F.col("lang"), F.lit(" "), F.expr("cast(doc_id div 2 as string)")).alias("title"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.col("lang").alias("category"), F.col("doc_id").alias("place"), "text")
+    seen = _pages(spark, sf_dir).select(H.safe_name(F.concat(F.lit("EN "), F.col("page_id").cast("string"))).alias("name"))
+    return C.articles(found, seen, _TOPICS, _PER_TOPIC, _TARGET + seen.select(F.lower("name")).distinct().count())

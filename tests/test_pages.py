@@ -80,3 +80,74 @@ def test_crawl(spark):
         saved += [(r.url, r.title, r.parsed_text) for r in docs.collect()]
     assert sorted(saved) == [("http://a.com/1", "one", "one"), ("http://a.com/4", None, "four")]  # 2 is fresh, 3 another domain
     assert sorted(r.url for r in visited.collect()) == ["http://a.com/1", "http://a.com/2", "http://a.com/4"]
+
+
+def queue_crawl(pages, source, existing, now, ttl):
+    """Saved documents (url: (source, sha, title, fetched_at, checked_at)) after visiting a queue page by page."""
+    import hashlib
+    import re
+
+    by_url = {plain_norm(u): h for _, u, h in pages}
+    queue, visited, held, saved = [plain_norm(s) for s in source.seeds], set(), dict(existing), 0
+    while queue:
+        if source.max_articles and saved >= source.max_articles:
+            break
+        url = queue.pop(0)
+        if url in visited:
+            continue
+        visited.add(url)
+        name = urlsplit(url).netloc
+        if not any(name == d or name.endswith("." + d) for d in source.allowed_domains) or urlsplit(url).path.endswith(".jpg"):
+            continue
+        is_doc = bool(re.search(source.doc_url_regex, url))
+        if source.follow_url_regex and not re.search(source.follow_url_regex, url) and not is_doc or url not in by_url:
+            continue
+        page = by_url[url]
+        queue += [x for x in (plain_norm(urljoin(url, h)) for h in re.findall('href="([^"]+)"', page)) if x]
+        if is_doc:
+            doc, sha = url.split("?")[0], hashlib.sha256(page.encode()).hexdigest()
+            old = held.get(doc)
+            if old and ttl > 0 and now - old[3] < ttl:
+                continue
+            if old and old[1] == sha:
+                held[doc] = (*old[:4], now)
+            else:
+                title = re.search("<title>(.*?)</title>", page)
+                held[doc] = (source.name, sha, title[1] if title else doc, now, now)
+                saved += 1
+    return held
+
+
+@pytest.mark.parametrize("most", [0, 1, 7, 30])
+@pytest.mark.parametrize("follow", ["", "/f"])
+def test_crawl_equals_a_queue(spark, most, follow):
+    import hashlib
+    import random
+
+    rnd = random.Random(most)
+    urls = [f"http://{rnd.choice(['a.com', 'b.a.com', 'other.org'])}/{rnd.choice('fd')}{i}{rnd.choice(['', '', '.jpg'])}" for i in range(40)]
+    urls += [f"{u}?q={k}" for u in urls[::3] for k in range(2)]
+    pages = [(i, u, "".join(f'<a href="{rnd.choice(urls)}#x">' for _ in range(3)) + (f"<title>t{i}</title>" if i % 3 else "")) for i, u in enumerate(urls)]
+    source = C.Source(["a.com"], "/d", follow, [urls[0], urls[1], urls[4], urls[7], urls[40]], most, "s")
+    held = {}
+    for i, u, page in pages[::4]:
+        held.setdefault(u.split("?")[0], ("old", hashlib.sha256(page.encode()).hexdigest() if i % 8 else "x", "T", 60 if i % 12 else 95, 1))
+    existing = spark.createDataFrame([(u, s, "", sha, "", t, f, c, "web") for u, (s, sha, t, f, c) in held.items()], ", ".join(f"{c} {'long' if c.endswith('_at') else 'string'}" for c in C.RECORD))
+    got = C.crawl(spark.createDataFrame(pages, "page_id int, url string, html string"), source, existing, 100, 20)
+    want = queue_crawl(pages, source, held, 100, 20)
+    assert {r.url: (r.source, r.raw_sha256, r.title, r.fetched_at, r.checked_at) for r in got.collect()} == want
+    assert most or sum(v[3] == 100 for v in want.values()) > 3
+
+
+def test_crawl_sources(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a.com/1", "one"), (2, "http://b.com/1", "two")], "page_id int, url string, html string")
+    none = spark.createDataFrame([], ", ".join(f"{c} {'long' if c.endswith('_at') else 'string'}" for c in C.RECORD))
+    sources = [{"name": n, "seeds": [f"http://{n}.com/1"], "allowed_domains": [f"{n}.com"]} for n in "ab"] + ["junk", {"name": "w", "method": "wikipedia"}]
+    found = C.crawl_sources(pages, {"sources": sources, "crawler": {"cache_ttl_s": 9}}, none, 100)
+    assert sorted((r.url, r.source, r.title) for r in found.collect()) == [("http://a.com/1", "a", "http://a.com/1"), ("http://b.com/1", "b", "http://b.com/1")]
+    assert [r.source for r in C.crawl_sources(pages, {"sources": sources}, none, 100, only="b").collect()] == ["b"]
+    C.write_collection(found, f"{tmp_path}/c")
+    assert [r.url for r in C.collection_between(spark, f"{tmp_path}/c", ["b"], 100, 101).collect()] == ["http://b.com/1"]
+    plan = C.collection_between(spark, f"{tmp_path}/c", ["b"], 100, 101)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source" in plan or "PartitionFilters: [(source" in plan or "source#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert "GreaterThanOrEqual(fetched_at,100)" in plan

@@ -1,3 +1,6 @@
+import hashlib
+import json
+
 import __spark_entry__
 from lexisweave import cli
 from lexisweave.operators import crawl as C
@@ -67,3 +70,40 @@ def test_entry(spark):
     rows = __spark_entry__.entry(spark)
     assert rows.columns == ["rank", "doc_id", "score", "title", "url"] and rows.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_import_text_dir(spark, tmp_path):
+    (tmp_path / "Figure_skating.txt").write_bytes(b"a\r\nb\xff\n")
+    (tmp_path / "b.txt").write_text("")
+    (tmp_path / "c.json").write_text("{}")
+    rows = {r.url: r for r in S.import_text_dir(spark, str(tmp_path), 7, "http://w/").collect()}
+    text = "a\nb\ufffd\n"
+    assert tuple(rows["http://w/Figure_skating"]) == ("http://w/Figure_skating", "wikipedia", text, hashlib.sha256(text.encode()).hexdigest(), text, "Figure skating", 7, 7, "wikipedia_api")
+    assert rows["http://w/b"].raw_content == "" and len(rows) == 2
+    assert S.import_text_dir(spark, str(tmp_path), 7).columns == C.RECORD
+    assert tuple(S.corpus_size(spark, str(tmp_path), 1).first()) == (2, 6, 1, 6)
+
+
+def test_articles(spark, tmp_path):
+    long = " ".join(["w\u2003x"] * 3)  # six words, as Unicode white space separates
+    found = spark.createDataFrame([
+        ("One (1)", "u1", "b", 1, long), ("one 1", "u2", "a", 5, long), ("Seen", "u3", "a", 1, long), ("x:y", "u4", "a", 2, long), ("", "u5", "a", 3, long), ("short", "u6", "a", 4, "w"), ("two", "u7", "a", 6, long), ("three", "u8", "a", 7, long),
+        ("four", "u9", "b", 2, long), ("five", "u10", "b", 3, long), ("other", "u11", "c", 1, long),
+    ], "title string, url string, category string, place int, text string")
+    seen = spark.createDataFrame([("SEEN",), ("other",)], "name string")
+    names = lambda per, target: sorted(r.name for r in C.articles(found, seen, ["a", "b"], per, target, least=6).collect())
+    assert names(2, 100) == ["five", "four", "one_1", "two"]  # of the two titles with one name, the one of the first topic
+    assert names(2, 5) == ["four", "one_1", "two"] and names(2, 2) == []
+    rows = C.articles(found, seen, ["a", "b"], 1, 100, least=6)
+    assert C.write_articles(rows, f"file://{tmp_path}") == 2
+    assert json.loads((tmp_path / "raw/one_1.json").read_text()) == {"title": "one 1", "url": "u2", "category": "a", "word_count": 6}
+    assert (tmp_path / "text/one_1.txt").read_text() == f"Title: one 1\nURL: u2\nSource: Wikipedia\nCategory: a\n\n{long}"
+    assert sorted(x.name for x in (tmp_path / "text").iterdir() if x.suffix == ".txt") == ["four.txt", "one_1.txt"]
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.yaml").write_text("sources:\n  - name: s\n    seeds: ['http://a.com/']\n    allowed_domains: [a.com]\n    max_articles: 5\n    doc_url_regex: ''\n")
+    source = C.Source.of(S.read_config(str(tmp_path / "c.yaml"))["sources"][0])
+    assert (source.name, source.seeds, source.allowed_domains, source.max_articles, source.method) == ("s", ["http://a.com/"], ["a.com"], 5, "web")
+    (tmp_path / "d.yaml").write_text("- 1")
+    assert S.read_config(str(tmp_path / "d.yaml")) == {}

@@ -18,8 +18,8 @@ from .sources.corpus import corpus, read_queries
 
 def answer(engine: SearchEngine, query: str, limit: int, ranked: bool | None) -> str:
     """Count and rows of one query."""
-    rows = sorted(engine.search(query, limit=limit, ranked=ranked).collect())
-    return "\n".join([f"Found {engine.total(query)} docs.", *[f"{r['rank']}. {r['title']} ({r['url']})" for r in rows]])
+    total, rows = engine.counted(query, limit, ranked)
+    return "\n".join([f"Found {total} docs.", *[f"{r['rank']}. {r['title']} ({r['url']})" for r in rows]])
 
 
 def main(args: list[str] | None = None) -> int:

@@ -56,7 +56,7 @@ def _past(w: Column) -> Column:
 
 
 def _final_y(w: Column) -> Column:
-    return F.when(w.rlike("[yY]$") & _cut(w, 1).rlike(VOWEL), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
+    return F.when((w.endswith("y") | w.endswith("Y")) & _cut(w, 1).rlike(VOWEL), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
 
 
 def _first_of(rules: list[tuple[str, str]], least: int) -> Callable[[Column], Column]:
@@ -67,7 +67,7 @@ def _first_of(rules: list[tuple[str, str]], least: int) -> Callable[[Column], Co
             then = F.when(_measure(base) > least, F.concat(base, F.lit(new)) if new else base).otherwise(w)
             out = F.when(w.endswith(suffix), then) if out is None else out.when(w.endswith(suffix), then)
         if least:  # the fourth step ends with ion after s or t
-            out = out.when(w.rlike("[st]ion$"), F.when(_measure(_cut(w, 3)) > least, _cut(w, 3)).otherwise(w))
+            out = out.when(w.endswith("sion") | w.endswith("tion"), F.when(_measure(_cut(w, 3)) > least, _cut(w, 3)).otherwise(w))
         return out.otherwise(w)
 
     return step
@@ -84,7 +84,7 @@ def _final_l(w: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """Stem of a lower-case word; words of one or two characters stay."""
-    marked = F.regexp_replace(F.regexp_replace(word, "(^|[aeiou])y", "$1Y"), "yy", "yY")
+    marked = F.when(word.contains("y"), F.regexp_replace(F.regexp_replace(word, "(^|[aeiou])y", "$1Y"), "yy", "yY")).otherwise(word)
     steps = [_plural, _past, _final_y, _first_of(STEP2, 0), _first_of(STEP3, 0), _first_of([(s, "") for s in STEP4], 1), _final_e, _final_l]
 
     def chain(w: Column, rest: list) -> Column:

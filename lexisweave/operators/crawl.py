@@ -168,6 +168,13 @@ def page_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.explode(H.hrefs(F.col("html"))).alias("href")).select("page_id", H.links(F.col("url"), F.col("href")).alias("link")).where("link is not null")
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder: plans of later rounds start there."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def seed_frontier(spark: SparkSession, source: Source) -> DataFrame:
     """(url, place): the source's seeds, normalised, in their order."""
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(source.seeds)], "i long, s string")
@@ -175,7 +182,7 @@ def seed_frontier(spark: SparkSession, source: Source) -> DataFrame:
 
 
 def crawl_step(frontier: DataFrame, visited: DataFrame, pages: DataFrame, source: Source, existing: DataFrame, now: int, ttl: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round of a breadth-first crawl: (next frontier, visited, documents fetched).
+    """One round of a breadth-first crawl: (next frontier, visited, documents fetched). The round's visits are written to the shared folder.
 
     frontier (url, and place where it is known) and visited hold urls, pages (page_id, url, html) what a fetch returns. A page is visited
     once, if wanted. Its links are followed whether or not it is a document. A document's url is the page's without its query; of a round's
@@ -186,6 +193,7 @@ def crawl_step(frontier: DataFrame, visited: DataFrame, pages: DataFrame, source
     if "place" not in frontier.columns:
         frontier = frontier.withColumn("place", F.array().cast("array<bigint>"))
     todo = frontier.groupBy("url").agg(F.min("place").alias("place")).join(visited.select("url"), "url", "left_anti").where(source.wanted(F.col("url")))
+    todo = _written(todo, "crawl-visits")  # all results are taken from it
     seen = visited.select("url").unionByName(todo.select("url"))
     got = pages.select(H.normalize_url(F.col("url")).alias("url"), "html").join(todo, "url")
     found = got.select("url", "place", F.posexplode(H.hrefs(F.col("html"))).alias("at", "href")).select(H.links(F.col("url"), F.col("href")).alias("link"), F.concat("place", F.array(F.col("at").cast("long"))).alias("place")).where("link is not null")
@@ -211,19 +219,12 @@ def crawl(pages: DataFrame, source: Source, existing: DataFrame, now: int, ttl:
     a document that is fresh or only checked doesn't. Every round is written to the shared folder, so plans stay short; rounds are as
     many as the longest chain of links. Only counts and one place of a round reach the driver.
     """
-    spark = pages.sparkSession
-
-    def written(df: DataFrame, label: str) -> DataFrame:
-        path = scratch_dir(spark, label)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    frontier = written(seeds if seeds is not None else seed_frontier(spark, source), "crawl-seeds")
+    frontier = seeds if seeds is not None else seed_frontier(pages.sparkSession, source)
     visited, saved = frontier.select("url").where("false"), 0
     collection = existing.select(*RECORD)
     for n in range(max_rounds):
         follow, seen, docs = crawl_step(frontier, visited, pages, source, collection, now, ttl)
-        docs = written(docs, f"crawl-docs-{n}")
+        docs = _written(docs, f"crawl-docs-{n}")
         changed = docs.join(collection.select("url", "raw_sha256"), ["url", "raw_sha256"], "left_anti")
         count = changed.count()
         last = source.max_articles and saved + count >= source.max_articles
@@ -231,11 +232,11 @@ def crawl(pages: DataFrame, source: Source, existing: DataFrame, now: int, ttl:
             # the page that saves the last document ends the crawl
             end = changed.orderBy("place", "url").limit(source.max_articles - saved).agg(F.max(F.struct("place", "url")).alias("end"))
             docs = docs.join(F.broadcast(end)).where(F.struct("place", "url") <= F.col("end")).drop("end")
-        collection = written(upsert(collection, records(docs, source)), f"crawl-collection-{n}")
+        collection = _written(upsert(collection, records(docs, source)), f"crawl-collection-{n}")
         if last:
             return collection
         saved += count
-        visited, frontier = written(seen, f"crawl-visited-{n}"), written(follow, f"crawl-frontier-{n}")
+        visited, frontier = _written(seen, f"crawl-visited-{n}"), _written(follow, f"crawl-frontier-{n}")
         if frontier.isEmpty():
             return collection
     raise RuntimeError(f"the crawl did not end after {max_rounds} rounds")

@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import raw_words, stem_map, words
+from ..functions.stemming import stem
+from ..functions.text import WORD, words
+from ..sources.scratch import scratch_dir
 
 
-def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranged: bool = False, partitions: int | None = None) -> DataFrame:
+def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, id, tf, positions): occurrences of each stem in each document, positions ascending.
 
-    Words are grouped by document before anything else (a partial aggregate on the map side), their distinct
-    forms are stemmed once, and the words of a stem are joined and grouped by (term, document): a frequent word is one small row a document.
-    ranged deals the rows out by ranges of (term, document) before that grouping, which then needs no shuffle of its own.
+    Words are stemmed where they are cut, without a vocabulary and its join, and gathered by document and stem: a document's words are in one
+    task, so the rows of the aggregate's map side are already whole, and a corpus that is partitioned by id (sources.corpus.spread)
+    isn't shuffled here. A frequent word is one small row a document.
     """
-    found = words(corpus, id_col, text_col)
-    by_word = found.groupBy("word", id_col).agg(F.collect_list("pos").alias("p"))
-    joined = by_word.join(stem_map(found), "word").select("term", id_col, "p")
-    if ranged:
-        joined = joined.repartitionByRange(partitions, "term", id_col) if partitions else joined.repartitionByRange("term", id_col)
-    grouped = joined.groupBy("term", id_col).agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("positions"))
+    found = words(corpus, id_col, text_col).select(id_col, stem(F.col("word")).alias("term"), "pos")
+    grouped = found.groupBy(id_col, "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return grouped.select("term", id_col, F.size("positions").alias("tf"), "positions")
 
 
 def doc_lengths(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without their text, with their length in words (0 for an empty text)."""
-    return corpus.withColumn("length", F.size(raw_words(F.col(text_col)))).drop(text_col)
+    return corpus.withColumn("length", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0))).drop(text_col)
 
 
 def vocabulary(found: DataFrame) -> DataFrame:
@@ -49,30 +48,36 @@ class Index:
     postings: DataFrame  # term, doc_id, tf, positions
     vocab: DataFrame  # term, df, cf
     stats: DataFrame  # n_docs, n_tokens, avg_len
-    corpus: DataFrame | None = None  # what build() was given
 
     @classmethod
     def build(cls, corpus: DataFrame) -> Index:
         """Lazy index of corpus (doc_id, url, title, text)."""
         found = postings(corpus)
         docs = doc_lengths(corpus)
-        return cls(docs, found, vocabulary(found), statistics(docs), corpus)
+        return cls(docs, found, vocabulary(found), statistics(docs))
 
     def save(self, path: str, partitions: int | None = None) -> Index:
         """Write the tables under path and return them as read back.
 
         Postings are ranged by term, and by document within very frequent ones, and sorted, so that a term's rows are few row groups
-        that file statistics find. Vocabulary and statistics are taken from the written postings and docs.
+        that file statistics find. They are written once as they come, as the bounds of ranges take a second look at all rows, which
+        would else cut and stem all words again. Vocabulary and statistics are taken from the written postings and docs; docs are written meanwhile.
         """
         spark = self.docs.sparkSession
-        if self.corpus is not None:
-            ranged = postings(self.corpus, ranged=True, partitions=partitions)
-        else:
-            ranged = self.postings.repartitionByRange(partitions, "term", "doc_id") if partitions else self.postings.repartitionByRange("term", "doc_id")
-        ranged.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        vocabulary(spark.read.parquet(f"{path}/postings").select("term", "tf")).write.mode("overwrite").parquet(f"{path}/vocab")
-        statistics(spark.read.parquet(f"{path}/docs")).write.mode("overwrite").parquet(f"{path}/stats")
+
+        def write_docs() -> None:
+            self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+            statistics(spark.read.parquet(f"{path}/docs")).write.mode("overwrite").parquet(f"{path}/stats")
+
+        with ThreadPoolExecutor(1) as pool:
+            docs_written = pool.submit(write_docs)
+            unsorted = scratch_dir(spark, "postings")
+            self.postings.write.parquet(unsorted)
+            found = spark.read.schema(self.postings.schema).parquet(unsorted)
+            ranged = found.repartitionByRange(partitions, "term", "doc_id") if partitions else found.repartitionByRange("term", "doc_id")
+            ranged.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+            vocabulary(spark.read.parquet(f"{path}/postings").select("term", "tf")).write.mode("overwrite").parquet(f"{path}/vocab")
+            docs_written.result()
         return self.load(spark, path)
 
     @classmethod

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stemming import stem
 from ..functions.text import query_words
@@ -14,6 +16,8 @@ from ..plans import query as Q
 from .index import Index
 
 LIMIT = 50
+#: Words of a batch of queries that are weighed on the driver.
+BATCH_WORDS = 10_000
 #: Decimals of a score: documents whose scores only differ by the order of additions are ties, and ties go by id.
 DIGITS = 9
 
@@ -113,8 +117,10 @@ class SearchEngine:
 
         Queries of phrases alone are in id order unless ranked. ranked=False puts any query in id order.
         """
+        return self._top(query, self.matches(query), limit, offset, ranked)
+
+    def _top(self, query: str, found: DataFrame, limit: int, offset: int, ranked: bool | None) -> DataFrame:
         plan = Q.plan(query)
-        found = self.matches(query)
         if ranked and plan.mode == "quotes":
             words = " ".join(w for t in Q.lex(query) if t.kind != "op" for w in Q.query_words(t.text))
             scores = self.matches(words).withColumnRenamed("score", "s")
@@ -127,19 +133,40 @@ class SearchEngine:
         return numbered.join(self.index.docs.select("doc_id", "title", "url"), "doc_id").select("rank", "doc_id", "score", "title", "url")
 
     def search_page(self, query: str, page: int = 1, per_page: int = LIMIT) -> tuple[DataFrame, bool]:
-        """Rows of a page from 1, and whether there is another."""
-        first = max(1, page) * per_page
-        return self.search(query, per_page, first - per_page), self.total(query) > first
+        """Rows of a page from 1, and whether there is another: the page and one row more are fetched by one job."""
+        found = self.search(query, per_page + 1, max(0, page - 1) * per_page)
+        rows = sorted(found.collect())
+        return self.spark.createDataFrame(rows[:per_page], found.schema), len(rows) > per_page
+
+    def counted(self, query: str, limit: int = LIMIT, ranked: bool | None = None) -> tuple[int, list[Row]]:
+        """Number of matches and the first rows of search, from one evaluation of the query's matches."""
+        found = self.matches(query).persist()
+        try:
+            return found.count(), sorted(self._top(query, found, limit, 0, ranked).collect())
+        finally:
+            found.unpersist()
 
     def batch_free_text(self, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
         """(query_id, rank, doc_id, score): the top matches of each free-text query of queries (query_id, query), in one job.
 
-        The queries' terms are joined to the postings with their weights, so postings are read once for the whole batch.
+        Postings are read once for the whole batch. Up to BATCH_WORDS words are weighed on the driver, and only the row groups of their
+        terms are read; more are joined to the vocabulary and the postings.
         """
-        asked = queries.select("query_id", F.explode(F.regexp_extract_all("query", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("w")).select("query_id", F.lower("w").alias("word"))
-        weights = asked.groupBy("query_id", stem(F.col("word")).alias("term")).agg(F.count("*").alias("qtf")).join(self.index.vocab.select("term", "df"), "term")
-        weights = weights.crossJoin(F.broadcast(self.index.stats.select("n_docs"))).select("query_id", "term", (F.col("qtf") * F.log(F.col("n_docs") / F.col("df"))).alias("weight"))
-        scored = self.index.postings.select("term", "doc_id", "tf").join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum((1 + F.log(F.col("tf").cast("double"))) * F.col("weight")), DIGITS).alias("score"))
+        words = F.regexp_extract_all("query", F.lit("[A-Za-z0-9]+"), F.lit(0))
+        asked = queries.select("query_id", F.explode(words).alias("w")).select("query_id", F.lower("w").alias("word"))
+        postings = self.index.postings.select("term", "doc_id", "tf")
+        some = asked.limit(BATCH_WORDS + 1).collect()
+        if len(some) <= BATCH_WORDS:
+            stems = self.stems([r["word"] for r in some])
+            frequency = self.df([*stems.values()])
+            times = Counter((r["query_id"], stems[r["word"]]) for r in some if stems[r["word"]] in frequency)
+            rows = [(q, t, c * math.log(self.n_docs / frequency[t])) for (q, t), c in times.items()]
+            weights = F.broadcast(self.spark.createDataFrame(rows, T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])))
+            postings = postings.where(F.col("term").isin(sorted(frequency))) if frequency else postings.where(F.lit(False))
+        else:
+            weights = asked.groupBy("query_id", stem(F.col("word")).alias("term")).agg(F.count("*").alias("qtf")).join(self.index.vocab.select("term", "df"), "term")
+            weights = weights.crossJoin(F.broadcast(self.index.stats.select("n_docs"))).select("query_id", "term", (F.col("qtf") * F.log(F.col("n_docs") / F.col("df"))).alias("weight"))
+        scored = postings.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum((1 + F.log(F.col("tf").cast("double"))) * F.col("weight")), DIGITS).alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
         return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "score")
 
@@ -154,23 +181,36 @@ def _phrase_words(node) -> list[str]:
     return []
 
 
+def _moved(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: p - by)
+
+
+def _numbered(positions: Column, word: int) -> Column:
+    return F.transform(positions, lambda p: F.struct(p.alias("at"), F.lit(-word).alias("k")))
+
+
 def in_sequence(positions: list[Column], distance: int | None) -> Column:
-    """Whether the positions hold p1 < p2 < ... with each one after the last (distance None) or all within distance.
+    """Whether the positions hold p1 < p2 < ... with each one after the last (distance None) or all within distance. A missing list is false.
 
-    For each start the nearest later position of every further word is taken, which is the shortest span from there. A missing list is false.
+    Within a distance, all positions are gone through once in order: for each word the latest start of a sequence that has come as far as it is
+    kept, and a last word ends the nearest sequence. A position that several words share counts for the last of them first, as a sequence
+    takes a position once.
     """
     first, *rest = positions
     if distance is None:
-        def found(p: Column) -> Column:
-            return reduce(lambda a, b: a & b, [F.array_contains(q, (p + k).cast("int")) for k, q in enumerate(rest, 1)])
-    else:
-        def found(p: Column) -> Column:
-            last = p
-            for q in rest:
-                last = _after(q, last)
-            return F.coalesce(last - p <= distance, F.lit(False))
-    return F.coalesce(F.exists(first, found), F.lit(False))
-
-
-def _after(positions: Column, p: Column) -> Column:
-    return F.array_min(F.filter(positions, lambda x: x > p))
+        starts = reduce(F.array_intersect, [_moved(q, k) for k, q in enumerate(rest, 1)], first)
+        return F.coalesce(F.size(starts) > 0, F.lit(False))
+    n = len(positions)
+    if n == 1:
+        return F.coalesce(F.size(first) > 0, F.lit(False)) & F.lit(distance >= 0)
+    events = F.sort_array(F.concat(*[_numbered(p, k) for k, p in enumerate(positions)]))
+    none = F.lit(None).cast("int")
+    start = F.struct(*[none.alias(f"s{k}") for k in range(n - 1)], F.lit(False).alias("found"))
+
+    def step(acc: Column, e: Column) -> Column:
+        here = lambda k: e["k"] == -k
+        begun = [F.when(here(k), e["at"] if k == 0 else acc[f"s{k - 1}"]).otherwise(acc[f"s{k}"]).alias(f"s{k}") for k in range(n - 1)]
+        ended = F.coalesce(here(n - 1) & (e["at"] - acc[f"s{n - 2}"] <= distance), F.lit(False))
+        return F.struct(*begun, (acc["found"] | ended).alias("found"))
+
+    return F.coalesce(F.aggregate(events, start, step, lambda acc: acc["found"]), F.lit(False))

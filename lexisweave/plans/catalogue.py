@@ -468,7 +468,14 @@ _FIRST = lambda key: f"(SELECT *, {key} AS key FROM pages QUALIFY row_number() O
 _NO_QUERY = "regexp_replace(url, '[?#].*$', '')"
 _OLD = f"old AS (SELECT key AS url, CASE WHEN page_id % 5 = 0 THEN 'changed' ELSE sha256(html) END AS raw_sha256, 90000 + (page_id * 37) % 9000 AS fetched_at, CAST(1 AS BIGINT) AS checked_at FROM {_FIRST(_NO_QUERY)})"
 _NEW = f"new AS (SELECT key AS url, sha256(html) AS raw_sha256, CAST({_NOW} AS BIGINT) AS fetched_at, CAST({_NOW} AS BIGINT) AS checked_at FROM {_FIRST('url')})"
-_OLD_HASH, _OLD_TIME = F.when(F.col("page_id") % 5 == 0, "changed"), 90000 + (F.col("page_id") * 37) % 9000
+
+
+def _old_hash():
+    return F.when(F.col("page_id") % 5 == 0, "changed").otherwise(C.content_hash(F.col("html"))).alias("raw_sha256")
+
+
+def _old_time():
+    return (90000 + (F.col("page_id") * 37) % 9000).alias("fetched_at")
 
 
 def _stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -476,7 +483,7 @@ def _stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     pages = _pages(spark, sf_dir)
     old = C.quota(pages.withColumn("url", H.strip_query(F.col("url"))), "url", "page_id", 1)
     new = C.quota(pages, "url", "page_id", 1)
-    old = old.select("url", _OLD_HASH.otherwise(C.content_hash(F.col("html"))).alias("raw_sha256"), _OLD_TIME.alias("fetched_at"), F.lit(1).cast("long").alias("checked_at"))
+    old = old.select("url", _old_hash(), _old_time(), F.lit(1).cast("long").alias("checked_at"))
     return old, new.select("url", C.content_hash(F.col("html")).alias("raw_sha256"), F.lit(_NOW).cast("long").alias("fetched_at"), F.lit(_NOW).cast("long").alias("checked_at"))
 
 
@@ -550,8 +557,8 @@ def _collected(most: int):
         pages = _pages(spark, sf_dir)
         first = C.quota(pages.select("page_id", H.strip_query(H.normalize_url(F.col("url"))).alias("url"), "html"), "url", "page_id", 1)
         held = first.select(
-            "url", F.lit("old").alias("source"), F.col("html").alias("raw_content"), _OLD_HASH.otherwise(C.content_hash(F.col("html"))).alias("raw_sha256"), F.lit("").alias("parsed_text"),
-            F.lit("before").alias("title"), _OLD_TIME.alias("fetched_at"), F.lit(1).cast("long").alias("checked_at"), F.lit("web").alias("method"))
+            "url", F.lit("old").alias("source"), F.col("html").alias("raw_content"), _old_hash(), F.lit("").alias("parsed_text"),
+            F.lit("before").alias("title"), _old_time(), F.lit(1).cast("long").alias("checked_at"), F.lit("web").alias("method"))
         source = C.Source(_EVERYWHERE, doc_url_regex="/[0-9]+", max_articles=most)
         return C.crawl(pages, source, held, _NOW, _TTL, _seeds(pages)).select("url", "source", "raw_sha256", "title", F.col("fetched_at").cast("long").alias("fetched_at"), F.col("checked_at").cast("int").alias("checked_at"))
 
@@ -573,7 +580,7 @@ def _(spark, sf_dir):
 @query("collection_by_source", f"WITH c AS (SELECT url, split_part({_HOST}, '.', -1) AS source, CAST(90000 + (page_id * 37) % 9000 AS BIGINT) AS fetched_at FROM pages) SELECT * FROM c WHERE source IN ('com', 'org') AND fetched_at >= 92000 AND fetched_at < 96000")
 def _(spark, sf_dir):
     path = scratch_dir(spark, "collection")
-    C.write_collection(_pages(spark, sf_dir).select("url", F.element_at(F.split(H.host(F.col("url")), r"\."), -1).alias("source"), _OLD_TIME.cast("long").alias("fetched_at")), path)
+    C.write_collection(_pages(spark, sf_dir).select("url", F.element_at(F.split(H.host(F.col("url")), r"\."), -1).alias("source"), _old_time().cast("long").alias("fetched_at")), path)
     return C.collection_between(spark, path, ["com", "org"], 92_000, 96_000).select("source", "fetched_at", "url")
 
 

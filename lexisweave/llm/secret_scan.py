@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import math
+import itertools
+import random
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable
@@ -19,17 +20,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: Candidates of the method, and words that make what follows them sensitive.
+#: Candidates of the method, and words that make what stands by them sensitive.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"(?i)passw|pwd|secret|token|key|credential|auth|bearer|private|signature|cert|login|salt", re.ASCII)
 SENSITIVE_BYTES = (b"passw", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"bearer", b"private", b"signature", b"cert", b"login", b"salt")
-#: What may stand between two lines of one wrapped key.
+#: What may stand between two lines of one wrapped key, and a last line that is too short to be a candidate.
 WRAP = re.compile(r"""[\x20\t"'+,\\]*\r?\n[\x20\t"'+]*""")
-#: Characters before a candidate in which a sensitive word counts, characters of surroundings on each side that prime the
-#: compressor, and the least marginal compressed bytes per byte of the candidate.
-BEFORE, AROUND, NOVELTY = 48, 1024, 0.8
-#: Alphabets of keys by their number of characters: hexadecimal, base32, one case with digits; all others count as base64.
-ALPHABETS = ((16, re.compile("[0-9A-F]+|[0-9a-f]+")), (32, re.compile("[A-Z2-7]+|[a-z2-7]+")), (36, re.compile("[0-9A-Z]+|[0-9a-z]+")))
+SHORT_LINE = re.compile(r"""[A-Za-z0-9+/]{1,14}={1,2}(?![A-Za-z0-9+/_=-])""")
+#: Where a statement ends, characters before a candidate in which a sensitive word counts anywhere, and those on either side in which it
+#: counts within the statement.
+STATEMENT, BEFORE, BESIDE = re.compile(r"[\n;]"), 48, 200
+#: Characters of surroundings on each side that prime the compressor; the least marginal compressed size of a candidate, as a share of
+#: that of its own characters in random order, and in bytes a character.
+AROUND, NOVELTY, FLOOR = 1024, 0.92, 0.4
+#: Random orders that a candidate is compared with, and its length from which a faster compressor and one order will do.
+ORDERS, LONG = 3, 1 << 13
+#: Where a candidate is cut into the words that names are made of.
+PARTS = re.compile(r"[_/=+-]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 #: What code and configuration commonly name: strings made of these compress well and are no news.
 IDENTIFIERS = (
@@ -65,31 +72,78 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
     return out
 
 
-def novelty_meter(level: int = 3) -> Callable[[bytes, bytes], float]:
-    """measure(surroundings, candidate): marginal compressed bytes of the candidate after its surroundings, per byte."""
-    import zstandard as z
+def novelty_meter() -> Callable[[bytes, str], tuple[float, float]]:
+    """measure(surroundings, candidate): marginal compressed size of the candidate after its surroundings, as a share of what its own characters
+    cost there in random order (on average), and in bytes a character.
 
-    primed = z.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
-    compress = z.ZstdCompressor(level=level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+    The share tells words from chance whatever the alphabet, the length and the surroundings: a key of random characters costs what any other
+    order of them does, while a name is made of words that the surroundings or the dictionary of identifiers hold. Case counts for nothing, and
+    candidates are cut at separators, at capitals and between letters and digits, so names match however they are written.
+    """
+    import zstandard as z
 
-    def measure(around: bytes, candidate: bytes) -> float:
-        return max(0, len(compress(around + candidate)) - len(compress(around))) / len(candidate)
+    names = f" {IDENTIFIERS.lower()} ".encode()
+    primed = z.ZstdCompressionDict(names, dict_type=z.DICT_TYPE_RAWCONTENT)
+    common = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    thorough = z.ZstdCompressionParameters.from_level(19, source_size=4096, dict_size=len(names), min_match=3, strategy=z.STRATEGY_BTULTRA, **common)
+    fine, fast = z.ZstdCompressor(compression_params=thorough, dict_data=primed).compress, z.ZstdCompressor(level=3, dict_data=primed, **common).compress
+    start = names[:600]  # a block that doesn't compress at all would be stored as it is
+
+    def words(candidate: str) -> bytes:
+        return f" {' '.join(filter(None, PARTS.split(candidate)))} ".lower().encode()
+
+    def measure(around: bytes, candidate: str) -> tuple[float, float]:
+        compress, orders = (fast, 1) if len(candidate) >= LONG else (fine, ORDERS)
+        before = start + around.lower()
+        base = len(compress(before))
+        cost = lambda c: max(0, len(compress(before + words(c))) - base)
+        own, others = cost(candidate), 0
+        for seed in range(orders):
+            mixed = list(candidate)
+            random.Random(seed).shuffle(mixed)
+            others += cost("".join(mixed))
+        return own * orders / max(1, others), own / len(candidate)
 
     return measure
 
 
-def least_novelty(candidate: str, threshold: float = NOVELTY) -> float:
-    """The novelty a candidate must reach: threshold, or less where random text of its own alphabet can't cost that much.
+def looks_random(candidate: str) -> bool:
+    """Whether a candidate holds letters and digits, or letters that change their case as often as by chance."""
+    letters = [c for c in candidate if c.isalpha()]
+    switches = sum(a.islower() != b.islower() for a, b in itertools.pairwise(letters))
+    return bool(letters) and (any(c.isdigit() for c in candidate) or switches * 3 >= len(candidate))
+
 
-    Random text costs the logarithm of its alphabet and a few bytes (the start of a literal block), so long keys cost less a byte than short ones.
+def is_sensitive(text: str, s: int, e: int) -> bool:
+    """Whether a sensitive word stands in the BEFORE characters before s, or beside s to e in the same statement."""
+    if SENSITIVE.search(text, max(0, s - BEFORE), s):
+        return True
+    left, right = text[max(0, s - BESIDE) : s], text[e : e + BESIDE]
+    return bool(SENSITIVE.search(STATEMENT.split(left)[-1]) or SENSITIVE.search(STATEMENT.split(right, maxsplit=1)[0]))
+
+
+def surroundings(text: str, s: int, e: int, candidate: str) -> bytes:
+    """The AROUND characters on each side of s to e, without further places of the candidate that are sensitive too: a key that is named twice is no less a key.
+
+    Where it stands in the open, it isn't taken out: the text shows it as something that may be known.
     """
-    body = candidate.rstrip("=")
-    size = next((k for k, alphabet in ALPHABETS if alphabet.fullmatch(body)), 64)
-    return min(threshold, 0.96 * math.log2(size) / 8 + 6 / len(candidate))
+    lo, hi = max(0, s - AROUND), min(len(text), e + AROUND)
+    parts, at = [], lo
+    place = text.find(candidate, lo, hi)
+    while place >= 0:
+        end = place + len(candidate)
+        if place != s and (end <= s or place >= e) and is_sensitive(text, place, end):
+            parts.append((place, end))
+        place = text.find(candidate, end, hi)
+    out = []
+    for a, b in sorted([*parts, (s, e)]):
+        out.append(text[at:a])
+        at = b
+    return "".join([*out, text[at:hi]]).encode("utf-8", "replace")
 
 
-def novel_spans(text: str, raw: bytes, known: list[tuple[int, int, str]], measure: Callable[[bytes, bytes], float], threshold: float = NOVELTY) -> list[tuple[int, int, str, float]]:
-    """Candidates after a sensitive word that hold digits and letters, overlap no known span and don't compress."""
+def novel_spans(text: str, raw: bytes, known: list[tuple[int, int, str]], measure: Callable[[bytes, str], tuple[float, float]], threshold: float = NOVELTY) -> list[tuple[int, int, str, float]]:
+    """Candidates in a sensitive context that look random, overlap no known span and don't compress."""
     low = raw.lower()
     if not any(w in low for w in SENSITIVE_BYTES):
         return []
@@ -98,15 +152,14 @@ def novel_spans(text: str, raw: bytes, known: list[tuple[int, int, str]], measur
 
     def measured(s: int, e: int, candidate: str) -> float | None:
         """The novelty of a candidate at s to e if it is high enough."""
-        if not any(c.isdigit() for c in candidate) or not any(c.isalpha() for c in candidate):
+        if not looks_random(candidate):
             return None
-        around = (text[max(0, s - AROUND) : s] + text[e : e + AROUND]).encode("utf-8", "replace")
-        n = measure(around, candidate.encode())
-        return n if n >= least_novelty(candidate, threshold) else None
+        share, size = measure(surroundings(text, s, e, candidate), candidate)
+        return share if share >= threshold and size >= FLOOR else None
 
     free = (m.span() for m in CANDIDATE.finditer(text) if bisect_left(starts, m.end()) <= bisect_right(ends, m.start()))  # no known span starts before the end and ends after the start
     for block in _blocks(text, free):
-        sensitive = [bool(SENSITIVE.search(text, max(0, s - BEFORE), s)) for s, _ in block]
+        sensitive = [is_sensitive(text, s, e) for s, e in block]
         if not any(sensitive):
             continue
         # the lines of a wrapped key surround each other with text like their own, so they are measured as one candidate
@@ -115,6 +168,8 @@ def novel_spans(text: str, raw: bytes, known: list[tuple[int, int, str]], measur
             n = whole if whole is not None else measured(s, e, text[s:e]) if named else None
             if n is not None:
                 out.append((s, e, "novel", n))
+        if whole is not None and (wrap := WRAP.match(text, block[-1][1])) and (tail := SHORT_LINE.match(text, wrap.end())) and bisect_left(starts, tail.end()) <= bisect_right(ends, tail.start()):
+            out.append((*tail.span(), "novel", whole))
     return out
 
 
@@ -137,10 +192,11 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", threshold: float = NOV
     """docs with one more column, array<struct<kind, start, end, novelty>> by start and kind: what looks secret in the whole text.
 
     Positions are code points, end exclusive. Kinds assign, access and hex are the fixed patterns (novelty null). novel adds runs of
-    16 or more key characters that follow a sensitive word within BEFORE characters (of a key wrapped in lines of one length, its first line), mix letters with digits, and whose
-    marginal compressed size, after the surrounding AROUND characters on each side and a dictionary of identifiers, is at least
-    `threshold` of their length, or what random text of their alphabet costs if that is less (least_novelty). A null or empty text has none; repeated rows get equal spans, an empty table gives an
-    empty result. result_col must not be a column of docs. Every row is finished where it is read; nothing is shuffled.
+    16 or more key characters in a sensitive context (see is_sensitive; of a key wrapped in lines of one length, its first line, and a short padded last line goes with it)
+    that look random (see looks_random) and whose marginal compressed size, after the surrounding AROUND characters on each side and a dictionary
+    of identifiers, is at least `threshold` of that of the same characters in random order, and FLOOR bytes a character. A null or empty text has
+    none; a very long text is searched like any other, a candidate of LONG characters with a faster compressor; repeated rows get equal spans, an empty
+    table gives an empty result. result_col must not be a column of docs. Every row is finished where it is read; nothing is shuffled.
     """
     if result_col in docs.columns:
         raise ValueError(f"docs already has a column {result_col}")
@@ -167,7 +223,7 @@ def may_hold(raw: bytes) -> bool:
     return any(w in low for w in SENSITIVE_BYTES) or b"AKIA" in raw or b"api" in low or b"h" * 24 in raw.translate(_HEX_MAP)
 
 
-def spans(raw: bytes, measure: Callable[[bytes, bytes], float], threshold: float = NOVELTY) -> list[dict]:
+def spans(raw: bytes, measure: Callable[[bytes, str], tuple[float, float]], threshold: float = NOVELTY) -> list[dict]:
     """All spans of a text in UTF-8."""
     text = raw.decode("utf-8", "replace")
     base = base_spans(text, raw)

@@ -15,6 +15,8 @@ from .shared import binary_column
 
 #: log2 of the scorer's weights, n-gram lengths over character classes, and the most rows (about) that train the scorer.
 BITS, SIZES, TRAIN_ROWS = 12, (1, 2, 3), 5000
+#: Characters at which the n-grams of a text have half their weight.
+SHORT = 60
 #: Probability of being good under which a document is rejected.
 THRESHOLD = 0.25
 BAD, GOOD, ABSTAIN = 0, 1, 2
@@ -56,29 +58,32 @@ def statistics(text: bytes) -> dict[str, float]:
         "pipes": text.count(b"|") / n,
         "mean": letters / n,
         "common": sum(w in COMMON for w in text.lower().split()) / n,
+        "pairs": len(set(zip(words, words[1:], strict=False))) / max(1, len(words) - 1) if len(words) > 1 else 1.0,
     }
 
 
+#: The labellers: a measure, the least words for which it tells anything, and the values beyond which it votes BAD and up to which it votes GOOD.
+#: A BAD limit below the GOOD one is a lower limit. Values between the two abstain.
+BANDS = [
+    ("symbols", 3, 0.03, 0.005), ("capitals", 5, 0.12, 0.06), ("shouts", 3, 0.05, 0.0), ("repeated_lines", 20, 0.25, 0.05), ("variety", 50, 3.5, 6.0), ("letters", 5, 0.91, 0.95),
+    ("digits", 3, 0.25, 0.05), ("repeats", 10, 0.06, 0.03), ("pipes", 3, 0.05, 0.0), ("mean", 5, 8.0, 6.5), ("mean", 5, 3.5, 4.0), ("common", 20, 0.06, 0.15), ("pairs", 20, 0.7, 0.9),
+]
+LABELLERS = len(BANDS)
+LEAST = {name: least for name, least, *_ in BANDS}
+
+
 def votes(s: dict[str, float]) -> list[int]:
-    """One vote of each labeller. Those that look for one kind of junk only say BAD or abstain: its absence is weak evidence."""
-    enough = s["words"] >= 20
-    junk = [
-        s["symbols"] > 0.06,
-        s["capitals"] > 0.5 and s["words"] >= 3,
-        s["shouts"] > 0.2,
-        s["repeated_lines"] > 0.3,
-        enough and s["variety"] < 2,
-        s["letters"] < 0.75 and s["words"] >= 3,
-        s["digits"] > 0.5,
-        s["repeats"] > 0.2 and s["words"] >= 5,
-        s["pipes"] > 0.2,
-        s["mean"] > 25 or s["mean"] < 1,
-    ]
-    usual = BAD if enough and s["common"] < 0.002 else GOOD if s["common"] > 0.03 or not enough else ABSTAIN
-    return [*(BAD if x else ABSTAIN for x in junk), usual]
-
-
-LABELLERS = 11
+    """One vote of each labeller. A text too short for a measure shows no sign of what it looks for, which is a vote for GOOD."""
+    out = []
+    for name, least, bad, good in BANDS:
+        x = s[name]
+        if s["words"] < least:
+            out.append(GOOD)
+        elif bad > good:
+            out.append(BAD if x > bad else GOOD if x <= good else ABSTAIN)
+        else:
+            out.append(BAD if x < bad else GOOD if x >= good else ABSTAIN)
+    return out
 
 
 def code(v: list[int]) -> int:
@@ -110,15 +115,12 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-#: What is known of the labellers beforehand: the largest share of good texts that get a BAD vote, and the least share of bad ones.
-FALSE_ALARMS, RECALL = 0.002, 0.1
-
-
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, false_alarms: float = FALSE_ALARMS, recall: float = RECALL) -> LabelModel:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, false_alarms: float = 1.0, recall: float = 0.0) -> LabelModel:
     """Class prior and vote probabilities of each labeller from the counts of vote patterns, without any true label.
 
-    Starts from the share of BAD votes among those cast, which makes class BAD the one that they point to, and alternates posteriors and (smoothed) re-estimates until they stay. Within
-    false_alarms and recall: a labeller whose kind of junk shows no other sign would else be taken for a habit of good texts.
+    Starts from the share of BAD votes among those cast, which makes class BAD the one that they point to, and alternates posteriors and
+    (smoothed) re-estimates until they stay. Limits may be set to what is known of the labellers: the largest share of good texts that get a
+    BAD vote, and the least share of bad ones; by default nothing is.
     """
     bad, cast = (patterns == BAD).sum(axis=1), (patterns != ABSTAIN).sum(axis=1)
     good = np.where(bad == 0, 0.95, 0.3 * (1 - bad / np.maximum(cast, 1)) + 0.02)
@@ -144,12 +146,12 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 
 def features(text: bytes, s: dict[str, float]) -> np.ndarray:
-    """Hashed vector of a text: shares of n-grams over character classes, and its statistics in steps."""
+    """Hashed vector of a text: shares of n-grams over character classes, and its statistics in steps, both of which count for less in a short text."""
     codes = np.frombuffer(text.translate(_CLASSES), dtype=np.uint8)
-    x = np.sqrt(hashed_ngrams(codes, SIZES, BITS).astype(np.float32) / max(1, len(codes)))
-    for k, (_, v) in enumerate(sorted((n, v) for n, v in s.items() if n != "words")):  # length is no sign of quality
+    x = np.sqrt(hashed_ngrams(codes, SIZES, BITS).astype(np.float32) / max(1, len(codes)) * (len(codes) / (len(codes) + SHORT)))
+    for k, (name, v) in enumerate(sorted((n, v) for n, v in s.items() if n != "words")):  # length is no sign of quality
         step = int(min(15, np.log2(1 + v))) if v > 1 else int(min(10, 10 * v))
-        x[(k * 2654435761 + step * 40503 + 17) % (1 << BITS)] += 0.5
+        x[(k * 2654435761 + step * 40503 + 17) % (1 << BITS)] += 0.5 * min(1.0, s["words"] / (2 * LEAST[name]))
     return x
 
 
@@ -187,9 +189,9 @@ class QualityModel:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> QualityModel:
     """Fit to docs without any labels.
 
-    Vote patterns are counted over all rows; at most 3 ** LABELLERS counts reach the driver. The scorer trains on about `rows` rows,
-    drawn by a hash of id and text over all of docs, of which half are shared out to patterns with a BAD vote; they come as vectors
-    of fixed size.
+    Vote patterns are counted over all rows; those that occur, a few hundred of the 3 ** LABELLERS that there are, reach the driver. The scorer
+    trains on about `rows` rows, drawn by a hash of id and text over all of docs, of which half are shared out to patterns with a BAD
+    vote; they come as vectors of fixed size, those of rows that repeat id and text once.
     """
     source = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     draw = F.xxhash64(F.coalesce("id", F.lit("")), F.coalesce("text", F.lit("")), F.lit("quality sample"))
@@ -229,7 +231,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
             yield pa.RecordBatch.from_pylist(out, pa.schema([("h", pa.int64()), ("code", pa.int32()), ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))]))
 
     drawn = source.withColumn("h", draw).where(F.pmod("h", F.lit(1 << 40)) < F.lit(int(top * (1 << 40)) + 1)).select("h", "text")
-    found = sorted(drawn.mapInArrow(sample, "h long, code int, slots array<int>, values array<float>").limit(4 * rows).collect(), key=lambda r: (r["h"], r["code"]))
+    vectors = drawn.mapInArrow(sample, "h long, code int, slots array<int>, values array<float>")
+    # rows that repeat id and text are drawn together and count once
+    found = sorted(vectors.dropDuplicates(["h"]).collect(), key=lambda r: (r["h"], r["code"]))
     matrix = np.zeros((len(found), 1 << BITS), np.float32)
     for i, r in enumerate(found):
         matrix[i, r["slots"]] = r["values"]

@@ -71,3 +71,55 @@ def test_patterns_have_codes():
     for v in ([0] * Q.LABELLERS, [2] * Q.LABELLERS, [k % 3 for k in range(Q.LABELLERS)]):
         assert Q.pattern(Q.code(v)) == v
     assert len(Q.votes(Q.statistics(b"a b"))) == Q.LABELLERS
+
+
+def plain_em(rows, rounds=300):
+    """Row by row, with dictionaries; the same start and smoothing."""
+    n, k = len(rows), len(rows[0])
+    good = []
+    for r in rows:
+        bad, cast = sum(v == Q.BAD for v in r), sum(v != Q.ABSTAIN for v in r)
+        good.append(0.95 if bad == 0 else 0.3 * (1 - bad / max(1, cast)) + 0.02)
+    for _ in range(rounds):
+        weight = {Q.GOOD: good, Q.BAD: [1 - g for g in good]}
+        table = {}
+        for c, w in weight.items():
+            for j in range(k):
+                sums = {v: 1 / 3 + sum(x for x, r in zip(w, rows) if r[j] == v) for v in (Q.BAD, Q.GOOD, Q.ABSTAIN)}
+                table[c, j] = {v: x / sum(sums.values()) for v, x in sums.items()}
+        prior = min(0.98, max(0.02, sum(good) / n))
+        new = []
+        for r in rows:
+            a, b = prior, 1 - prior
+            for j, v in enumerate(r):
+                a, b = a * table[Q.GOOD, j][v], b * table[Q.BAD, j][v]
+            new.append(a / (a + b))
+        if max(abs(x - y) for x, y in zip(good, new)) < 1e-6:
+            break
+        good = new
+    return prior, table, new
+
+
+def test_em_at_the_production_setting():
+    """All labellers vote both ways and overlap; accuracies come out, and what a plain loop gives."""
+    rng = np.random.default_rng(4)
+    n, k = 3000, Q.LABELLERS
+    recall, false = rng.uniform(0.15, 0.7, k), rng.uniform(0.0, 0.04, k)
+    bad = rng.random(n) < 0.15
+    hit = rng.random((n, k)) < np.where(bad[:, None], recall, false)
+    rows = np.where(hit, Q.BAD, np.where(rng.random((n, k)) < 0.1, Q.ABSTAIN, Q.GOOD))
+    patterns, inverse, counts = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+    model = Q.expectation_maximisation(patterns, counts.astype(float))
+    assert abs(model.prior - 0.85) < 0.03 and np.allclose(model.vote[Q.BAD, :, Q.BAD], recall, atol=0.08) and np.allclose(model.vote[Q.GOOD, :, Q.BAD], false, atol=0.02)
+    prior, table, posterior = plain_em(rows.tolist())
+    assert abs(prior - model.prior) < 1e-6 and all(abs(table[c, j][v] - model.vote[c, j, v]) < 1e-6 for c in (0, 1) for j in range(k) for v in range(3))
+    own = model.posterior(patterns)[inverse.reshape(-1)]
+    assert np.allclose(own, posterior, atol=1e-4)
+    # better than rejecting whatever any labeller calls bad
+    assert ((own < 0.5) == bad).mean() > 0.97 > 0.85 > (hit.any(axis=1) == bad).mean()
+
+
+def test_votes_go_both_ways():
+    texts = [prose(random.Random(k), 80).encode() for k in range(20)] + [junk(random.Random(k), 80, k % 4).encode() for k in range(20)]
+    seen = np.array([Q.votes(Q.statistics(t)) for t in texts])
+    assert (seen[:20] == Q.GOOD).mean() > 0.9 and (seen[20:] == Q.BAD).any(axis=1).all() and ((seen[20:] == Q.GOOD).any(axis=1)).all()

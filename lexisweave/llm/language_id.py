@@ -14,8 +14,8 @@ from .shared import binary_column
 
 #: n-gram lengths in bytes, log2 of the vector's size, centroids per language.
 SIZES, BITS, CENTROIDS = (2, 3, 4), 13, 4
-#: The fit reads at most about this many labelled rows of a language, of this many languages (by rows), and this many in all.
-ROWS_PER_LANGUAGE, LANGUAGES, ROWS = 400, 200, 8000
+#: The fit reads about this many labelled rows of a language at most, this many in all, and in any case this many of every language.
+ROWS_PER_LANGUAGE, ROWS, LEAST_ROWS = 400, 8000, 8
 #: A text is rejected if its nearest centroid is farther than all but this share of that centroid's own rows, by this margin.
 QUANTILE, MARGIN = 0.01, 0.05
 
@@ -80,37 +80,38 @@ def fit(samples: dict[str, np.ndarray]) -> LanguageModel:
     return LanguageModel(languages, idf, np.stack(centroids), np.array(nearest, np.float32))
 
 
-def train(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def train(docs: DataFrame, held_out: Column, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on a bounded sample of the labelled rows that aren't held out.
 
-    The sample of a language is every row whose hash of the id is under a share of its rows, so it is spread over all of
-    them and the same at every run. Counts come from all rows; texts stay on the executors, which send count vectors of fixed size.
+    Every language is learned. Its sample is every text whose hash is under a share of the language's texts, so it is spread over all of
+    them, the same at every run, and takes a text that repeats once; with more languages it shrinks, to LEAST_ROWS or so. Distinct texts are
+    counted (to a few percent) over all rows; texts stay on the executors, which send count vectors of fixed size.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out, F.lit(False)))
-    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    totals = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col, F.lit("language sample")).alias("h"))
+    totals = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).collect()  # one row a language
     if not totals:
         return fit({})
-    each = min(ROWS_PER_LANGUAGE, ROWS // len(totals))
-    share = F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], min(1.0, each / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("language sample")), F.lit(1 << 40)) / float(1 << 40)
-    sample = rows.where(draw < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).limit(4 * ROWS)
+    each = max(LEAST_ROWS, min(ROWS_PER_LANGUAGE, ROWS // len(totals)))
+    share = F.create_map(*[F.lit(x) for r in sorted(totals) for x in (r["lang"], min(1.0, each / r["texts"]))])
+    sample = rows.where(F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < F.element_at(share, F.col("lang")))
 
     def count(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids, langs, slots, values = [], [], [], []
-            for i, lang, x in zip(batch.column("id").to_pylist(), batch.column("lang").to_pylist(), binary_column(batch, "text"), strict=True):
+            hashes, langs, slots, values = [], [], [], []
+            for h, lang, x in zip(batch.column("h").to_pylist(), batch.column("lang").to_pylist(), binary_column(batch, "text"), strict=True):
                 text = x.as_py().decode("utf-8", "replace")
                 if has_letter(text):
                     counts = features(text)
                     at = np.flatnonzero(counts)
-                    ids.append(i), langs.append(lang), slots.append(at.astype(np.int32)), values.append(counts[at].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(langs, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], ["id", "lang", "slots", "counts"])
+                    hashes.append(h), langs.append(lang), slots.append(at.astype(np.int32)), values.append(counts[at].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(langs, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], ["h", "lang", "slots", "counts"])
 
+    vectors = sample.mapInArrow(count, "h long, lang string, slots array<int>, counts array<int>").dropDuplicates(["lang", "h"])
     found: dict[str, list] = {}
-    for r in sorted(sample.mapInArrow(count, "id string, lang string, slots array<int>, counts array<int>").collect(), key=lambda r: (r["lang"], r["id"] or "", r["slots"])):
+    for r in sorted(vectors.collect(), key=lambda r: (r["lang"], r["h"])):
         row = np.zeros(1 << BITS, np.float32)
         row[r["slots"]] = r["counts"]
         found.setdefault(r["lang"], []).append(row)
@@ -123,8 +124,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", resu
     lang is the language of the nearest centroid by cosine, score that cosine (0 to 1), rejected whether the text is farther
     from it than nearly all rows of the fit; a null text, one without letters, or any text for a model without languages
     is ("und", 0, true). Ties go to the language first by name. Only the text decides. Repeated rows get equal
-    results, an empty table gives an empty one. result_col must not be a column of docs; nothing is shuffled. The broadcast
-    model has at most LANGUAGES * CENTROIDS vectors of fixed size.
+    results, an empty table gives an empty one; a very long text is one vector like any other. result_col must not be a column of docs; nothing
+    is shuffled. The broadcast model has CENTROIDS vectors of fixed size for each language.
     """
     if result_col in docs.columns:
         raise ValueError(f"docs already has a column {result_col}")

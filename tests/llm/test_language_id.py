@@ -67,3 +67,15 @@ def test_kmeans_finds_separate_directions():
     found = spherical_kmeans(rows, 3)
     assert sorted(np.argmax(found, axis=1)) == [0, 1, 2]
     assert len(spherical_kmeans(rows[:2], 5)) == 2
+
+
+def test_many_languages_are_all_learned(spark):
+    """Two hundred and sixty languages with a word of their own each; a text that a third of all rows share is sampled once."""
+    rnd = random.Random(9)
+    names = [f"l{k:03d}" for k in range(260)]
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in names]
+    rows = [(n, f"{w} " * (2 + k)) for n, w in zip(names, words) for k in range(3)] + [("l000", f"{words[0]} ")] * 400
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = L.train(docs, F.lit(False))
+    assert sorted(set(model.languages)) == names and model.languages.count("l000") <= L.CENTROIDS
+    assert [p[0] for p in model.predict([f"{w} {w}" for w in words])] == names

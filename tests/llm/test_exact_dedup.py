@@ -32,3 +32,9 @@ def test_against_brute_force(spark, slot_bits):
 
 def test_empty(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bitmaps_grow_with_the_rows_within_bounds():
+    from lexisweave.llm.exact_dedup import slot_bits_for
+
+    assert [slot_bits_for(n) for n in (0, 1, 1 << 20, (1 << 20) + 1, 1 << 24, 1 << 25, 1 << 40)] == [25, 25, 25, 26, 29, 30, 30]

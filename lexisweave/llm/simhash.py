@@ -16,6 +16,8 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints of one bucket that a task compares with each other; larger buckets are dealt out as pairs of such chunks.
 CHUNK = 1 << 14
 LANES = 64
+#: Bits of a key of a sampled table.
+KEY_BITS = 20
 #: Odd constants that derive further words of a wide fingerprint from a shingle's hash.
 MIXERS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)
 
@@ -223,20 +225,19 @@ def block_tables(radius: int, words: int = 1) -> list[list[int]]:
     return [_mask_words(blocks[i] | blocks[j], words) for i, j in itertools.combinations(range(n), 2)]
 
 
-def sampled_tables(radius: int, words: int, rows: int, loss: float = 0.005, seed: int = SEED) -> list[list[int]]:
-    """Bit masks of tables for wide radii, where blocks would be too short: each takes the same number of bits drawn at random.
+def sampled_tables(radius: int, words: int, loss: float = 0.005, seed: int = SEED) -> list[list[int]]:
+    """Bit masks of tables for wide radii, where blocks would be too short: each takes KEY_BITS bits drawn at random.
 
-    A pair at exactly `radius` differing bits fails to meet in any table with probability `loss`, closer pairs far more rarely.
-    The bits of a key follow the logarithm of the rows, so that buckets stay a few blocks of lanes on average at every size.
+    A pair at exactly `radius` differing bits fails to meet in any table with probability `loss`, closer pairs far more rarely. The tables
+    are the same for every input, and so is whether a pair meets; a bucket of unrelated rows grows as rows / 2^KEY_BITS.
     """
     import math
     import random
 
     bits = 64 * words
-    key = min(20, max(12, math.ceil(math.log2(max(2, rows))) - 7))
-    meet = math.prod((bits - radius - i) / (bits - i) for i in range(key))
+    meet = math.prod((bits - radius - i) / (bits - i) for i in range(KEY_BITS))
     draw = random.Random(seed)
-    return [_mask_words(sum(1 << b for b in draw.sample(range(bits), key)), words) for _ in range(math.ceil(math.log(loss) / math.log(1 - meet)))]
+    return [_mask_words(sum(1 << b for b in draw.sample(range(bits), KEY_BITS)), words) for _ in range(math.ceil(math.log(loss) / math.log(1 - meet)))]
 
 
 def _mask_words(mask: int, words: int) -> list[int]:
@@ -264,6 +265,7 @@ def fingerprint_links(nodes: DataFrame, tables: list[list[int]], radius: int = R
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda d: F.struct(F.least(own, d).alias("lo"), F.greatest(own, d).alias("hi"), F.when(d == own, 0).when(d > own, 1).otherwise(2).cast("byte").alias("side")))
     dealt = members.select("node", *names, "key", F.explode(pairs).alias("p")).select(
         F.when(F.col("p.hi") == 0, F.col("key")).otherwise(F.xxhash64("key", "p.lo", "p.hi")).alias("task"), "key", F.col("p.lo").cast("int").alias("lo"), F.col("p.hi").cast("int").alias("hi"), F.col("p.side").alias("side"), "node", *names)
+    kind = nodes.schema["node"].dataType.simpleString()
     ordered = dealt.repartition("task").sortWithinPartitions("task", "key", "lo", "hi", "side")
 
     def run(batches):
@@ -289,7 +291,7 @@ def fingerprint_links(nodes: DataFrame, tables: list[list[int]], radius: int = R
                 i, j = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, words: int = 1, chunk: int = CHUNK) -> DataFrame:
@@ -298,8 +300,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are split at ASCII white space after A-Z are lower-cased; shingles are `shingle` words joined by a space, repeats
     included (the whole sequence where there are fewer words). A null or empty text, or one without words, has fingerprint 0
     and is linked like any other. Rows link at `radius` or fewer of 64 * words differing bits; component_id is the smallest id
-    reachable, so ties can't arise. Repeated rows and ids give repeated result rows; rows with a null id are linked by their
-    fingerprint like the rest and have the least component_id. An empty table gives an empty result. Other columns are ignored.
+    reachable, so ties can't arise. Repeated rows and ids give repeated result rows; an id with several texts links nothing by itself. Rows with a null id
+    are linked by their fingerprint like the rest; a component of null ids only has a null component_id. An empty table gives an empty result. Other columns are ignored.
 
     Candidates meet in tables of masked bits: for a radius up to 4 bits of blocks that lose no link, for wider ones of bits
     drawn at random (see sampled_tables for the stated loss). Equal fingerprints (exact copies, most near copies of a hot group)
@@ -308,12 +310,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     names = _columns(words)
     fps = materialize(fingerprints(docs, id_col, text_col, shingle, words), "simhash-fps")
-    distinct = fps.groupBy(*names).agg(F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("none"))
-    # a node is named by its least id, so that components are least ids; a null id is below all others
-    nodes = materialize(distinct.select(*names, F.when(F.col("none"), F.lit(-(1 << 63))).otherwise(F.col("least")).alias("node")), "simhash-nodes")
-    tables = block_tables(radius, words) if radius <= 4 else sampled_tables(radius, words, nodes.count())
-    edges = materialize(fingerprint_links(nodes, tables, radius, chunk).where("a != b"), "simhash-links")
+    # a node is a fingerprint, whatever ids its rows have; the one of 64 bits is its own name
+    name = F.col("f0") if words == 1 else F.concat(*[F.lpad(F.hex(n), 16, "0") for n in names])
+    nodes = materialize(fps.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", name), "simhash-nodes")
+    tables = block_tables(radius, words) if radius <= 4 else sampled_tables(radius, words)
+    edges = materialize(fingerprint_links(nodes, tables, radius, chunk), "simhash-links")
     roots = connected_components(edges)
-    labels = nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
+    # components of several fingerprints are named by their least id; the others are their own
+    linked = nodes.select("node", "least").join(materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "simhash-roots"), "node")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = linked.join(named, "root").select("node", "component_id")
+    every = nodes.join(labels, "node", "left").select(*names, F.coalesce("component_id", "least").alias("component_id"))
     shown = F.concat(*[F.lower(F.lpad(F.hex(n), 16, "0")) for n in names])
-    return fps.join(labels, names).select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
+    return fps.join(every, names).select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")

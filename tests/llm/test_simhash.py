@@ -161,3 +161,13 @@ def test_similar_texts_meet_and_others_do_not(spark):
         if j >= 0.87 or j <= 0.7:
             assert (got[2 * k + 1] == 2 * k) == (j >= 0.87), j
     assert sum(j >= 0.87 for j in pairs) > 20 and sum(j <= 0.7 for j in pairs) > 5
+
+
+def test_null_and_repeated_ids_link_nothing(spark):
+    a, b, c, d = "a b c d e", "p q r s t", "u v w x y z", "k l m n o"
+    rows = [(None, a), (None, b), (7, a), (3, b), (3, c), (9, c), (None, d), (3, a)]
+    got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in S.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    fp = {t: f"{plain_fingerprint(t):016x}" for t in (a, b, c, d)}
+    assert got == sorted([(None, fp[a], 3), (None, fp[b], 3), (7, fp[a], 3), (3, fp[b], 3), (3, fp[c], 3), (9, fp[c], 3), (None, fp[d], None), (3, fp[a], 3)], key=str)
+    got = {(r.doc_id, r.component_id) for r in S.simhash_groups(spark.createDataFrame([(None, a), (4, a), (None, b), (5, b)], "doc_id long, text string")).collect()}
+    assert got == {(None, 4), (4, 4), (None, 5), (5, 5)}

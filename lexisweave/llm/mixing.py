@@ -11,7 +11,9 @@ from .shared import materialize
 
 #: Most epochs of a leaf, rows (about) of a slice of a leaf's seeded order, and the seed.
 MAX_EPOCHS, SLICE_ROWS, SEED = 4, 4096, "mix"
+#: A token, and a token with the white space before it.
 TOKENS = r"[^\x09-\x0D\x20]+"
+SPACED = r"[\x09-\x0D\x20]*[^\x09-\x0D\x20]+"
 
 
 def word_count(text: Column) -> Column:
@@ -68,7 +70,8 @@ def mix(docs: DataFrame, path: Mapping[str, Column], weights: Sequence[Mapping[s
     """One row for each use of a document: (id, path..., epoch from 0, n_tokens, take_tokens).
 
     path names the levels of the tree, root first, as expressions over docs; a null is a branch of its own (""). The budget is
-    a number of tokens or a share of all tokens. Each leaf's budget is met exactly (see leaf_budgets): whole epochs, then a prefix of
+    a number of tokens or a share of all tokens. Each leaf's budget is a whole number (see leaf_budgets; what is rounded off, less than a token a leaf, is given to
+    nobody) and met exactly: whole epochs, then a prefix of
     one more epoch in an order seeded by seed, leaf epoch and id, whose last document gives only the first take_tokens of its tokens.
     The order is by MD5; ties (repeated ids) are put in order by n_tokens and share a place otherwise. Documents without tokens
     come with the epochs and prefixes like others and give 0. An empty table gives an empty result. Other columns are ignored.
@@ -78,6 +81,8 @@ def mix(docs: DataFrame, path: Mapping[str, Column], weights: Sequence[Mapping[s
     hash, slices are summed, and only the one slice of each leaf in which its budget ends is looked at row by row.
     """
     names = list(path)
+    if clash := {id_col, "epoch", "n_tokens", "take_tokens"} & set(names) or {id_col} & {"epoch", "n_tokens", "take_tokens"}:
+        raise ValueError(f"columns of the result have one name: {sorted(clash)}")
     count = tokens if tokens is not None else word_count(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("__id"), *[F.coalesce(e.cast("string"), F.lit("")).alias(f"__p{i}") for i, e in enumerate(path.values())], count.cast("long").alias("__n"))
     keys = [f"__p{i}" for i in range(len(names))]

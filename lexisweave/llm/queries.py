@@ -13,7 +13,6 @@ from .mixing import mix
 from .quality import classify
 from .quality import train as train_quality
 from .secret_scan import scan_secrets, secret_digest
-from .shared import materialize
 from .simhash import simhash_groups
 from .token_files import read_token_files, write_token_files
 from .warc import read_warc, resolve_revisits, write_warc
@@ -81,8 +80,7 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_warc(_table(spark, sf_dir, "pages"))
-    return resolve_revisits(materialize(read_warc(manifest, with_payload=False), "warc-read"))
+    return resolve_revisits(read_warc(write_warc(_table(spark, sf_dir, "pages")), with_payload=False))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,13 +28,22 @@ _LATIN_LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xc0-\xff]+")
 
 
+#: The steps of the public word-level tokenizer file that _PIECES follows.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
 def splits_into_words(path: str) -> bool:
-    """Whether the tokenizer file drops white space, lower-cases, splits by the pattern that _PIECES follows, and marks word ends."""
+    """Whether the tokenizer file's steps are the ones that _PIECES follows in all their settings: it drops white space, lower-cases, splits by
+    that pattern, marks word ends, cuts nothing off, merges without chance, and its added tokens all start with what sends a text to the library."""
     with open(path, encoding="utf-8") as f:
         rules = json.load(f)
-    steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
-    split = [x.get("pattern", {}).get("Regex") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-    return steps == ["NFC", "Replace", "Lowercase"] and split[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"] and rules["model"].get("end_of_word_suffix") == "</w>"
+    model = rules["model"]
+    plain = all(rules.get(k) is None for k in ("truncation", "padding", "post_processor")) and not model.get("dropout") and model.get("continuing_subword_prefix") is None
+    return plain and rules.get("normalizer") == _NORMALIZER and rules.get("pre_tokenizer") == _PRE_TOKENIZER and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and all(t["content"].startswith("<|") for t in rules.get("added_tokens") or [])
 
 
 class WordEncoder:

@@ -17,6 +17,8 @@ from .shared import binary_column, file_system, materialize, shared_dir
 
 #: Bytes of a record's block before it is cut into segments, bytes of an HTTP chunk, and the compression level of a record.
 SEGMENT_BYTES, CHUNK_BYTES, LEVEL = 32 << 10, 8 << 10, 1
+#: Bytes of an archive that are given to the decompressor at a time.
+STEP_BYTES = 4 << 10
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -91,17 +93,19 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 def records(stream, read_bytes: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of each record of a .warc.gz stream with one gzip member a record; field names in lower case."""
-    z, held, raw = zlib.decompressobj(wbits=31), b"", []
+    z, buffer, raw = zlib.decompressobj(wbits=31), memoryview(b""), []
     while True:
-        data = held or stream.read(read_bytes)
-        held = b""
-        if not data:
-            if raw:
-                raise ValueError("archive ends within a record")
-            return
-        raw.append(z.decompress(data))
+        if not buffer:
+            buffer = memoryview(stream.read(read_bytes))
+            if not buffer:
+                if raw:
+                    raise ValueError("archive ends within a record")
+                return
+        part = buffer[:STEP_BYTES]  # what follows a record in its part is copied
+        raw.append(z.decompress(part))
+        buffer = buffer[len(part) - len(z.unused_data) :]
         if z.eof:
-            held, z = z.unused_data, zlib.decompressobj(wbits=31)
+            z = zlib.decompressobj(wbits=31)
             head, _, rest = b"".join(raw).partition(b"\r\n\r\n")
             raw = []
             lines = head.decode("utf-8", "replace").split("\r\n")
@@ -198,8 +202,8 @@ def reassemble(segments: list[dict], with_payload: bool = True) -> dict:
 def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     """(name, type, url, refers_to, stated_digest, status, payload, payload_bytes, payload_digest) of each response and revisit record of the files.
 
-    Files (column uri) are read as streams. Records that stand alone are decoded at once; segments go, by origin
-    identifier, to one task each that sorts them by number, verifies the total length, undoes the chunked transfer coding
+    Files (column uri) are read as streams, once, into a table in the shared folder. Records that stand alone are decoded at once and not shuffled;
+    segments go, by origin identifier, to one task each that sorts them by number, verifies the total length, undoes the chunked transfer coding
     and compares the stated digest. What isn't whole has a status other than "ok" and no payload. Revisits have no payload of their own.
     """
     files = max(1, manifest.count())
@@ -234,18 +238,15 @@ def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 if held and row["key"] != held[0]["key"]:
                     out.append(reassemble(held, with_payload))
                     held = []
-                if row["segment"]:
-                    held.append(row)
-                else:
-                    out.append(row)
+                held.append(row)
             if out:
                 yield pa.RecordBatch.from_pylist(out, kind)
         if held:
             yield pa.RecordBatch.from_pylist([reassemble(held, with_payload)], kind)
 
-    pieces = manifest.select("uri").repartition(files).mapInArrow(read, PIECES)
-    whole = pieces.repartition("key").sortWithinPartitions("key", "segment").mapInArrow(join, PIECES)
-    return whole.select("name", "type", "url", F.col("refers").alias("refers_to"), F.col("stated").alias("stated_digest"), "status", F.col("block").alias("payload"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
+    pieces = materialize(manifest.select("uri").repartition(files).mapInArrow(read, PIECES), "warc-pieces")
+    joined = pieces.where("segment > 0").repartition("key").sortWithinPartitions("key", "segment").mapInArrow(join, PIECES)
+    return pieces.where("segment = 0").unionByName(joined).select("name", "type", "url", F.col("refers").alias("refers_to"), F.col("stated").alias("stated_digest"), "status", F.col("block").alias("payload"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
 
 
 def _arrow():

@@ -91,3 +91,15 @@ def test_selection(spark, share, slice_rows):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, lang string, text string")
     assert mix(docs, {"lang": F.col("lang")}, ({},), budget_share=0.5).count() == 0
+
+
+def test_names_that_clash(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from lexisweave.llm.mixing import mix
+
+    docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, lang string")
+    for name in ("epoch", "n_tokens", "take_tokens", "doc_id"):
+        with pytest.raises(ValueError):
+            mix(docs, {name: F.col("lang")}, [{}], budget=1)

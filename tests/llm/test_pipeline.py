@@ -75,3 +75,30 @@ def test_empty(spark):
     for stage in (S.quality, S.near_dedup, S.mixing):
         found = stage(spark, docs, "")
         assert found.columns == docs.columns and found.count() == 0
+
+
+def test_empty_tables_of_the_last_stages(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame([(1, BENCH), (None, None)], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    bench.limit(0).write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    for folder in ("a", "b"):
+        found = S.decontaminate(spark, docs, f"{tmp_path}/{folder}")
+        assert found.columns == docs.columns and found.count() == 0
+    rows = spark.createDataFrame([(1, BENCH), (1, BENCH), (None, None), (2, "")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in S.decontaminate(spark, rows, f"{tmp_path}/a").collect()) == ["2", "None"]
+    assert S.decontaminate(spark, rows, f"{tmp_path}/b").count() == 4
+    assert S.tokens(spark, docs, "").count() == 0
+    assert sorted((str(r.doc_id), r.start, r.n_tokens) for r in S.tokens(spark, rows.where("text is null or text = ''"), "").collect()) == [("2", 1, 1), ("None", 0, 1)]
+
+
+def test_clashing_names_and_line_breaks(spark):
+    rnd = random.Random(4)
+    texts = ["\n\t".join(prose(rnd, 9) for _ in range(12)) for _ in range(8)]
+    names = ["__id", "__hash", "__key", "__take", "__all", "quality", "hits", "mix_key", "near_id", "epoch", "component"]
+    docs = spark.createDataFrame([(i, t, "en", "s", *range(len(names))) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    assert S.near_dedup(spark, docs, "").columns == docs.columns and S.quality(spark, docs, "").columns == docs.columns
+    mixed = S.mixing(spark, docs, "")
+    assert mixed.columns == docs.columns
+    whole, cut = set(texts), [r.text for r in mixed.collect() if r.text not in texts]
+    assert len(cut) == 1 and any(t.startswith(cut[0]) and "\n\t" in cut[0] for t in whole)

@@ -74,6 +74,89 @@ LICENCES: list[tuple[str, str, str, list[str]]] = [
     ("upl-1.0", "permissive", "upl 1 0", ["universal permissive licen[cs]e version?! v?1?! 0?!"]),
     ("cecill-2.1", "cecill", "cecill 2 1", ["cecill (?:free software )?!licen[cs]e"]),
     ("hippocratic", "hippocratic", "hippocratic 2 1", [f"hippocratic {LICENCE}"]),
+    ("agpl-1.0", "affero", "agpl 1 0", ["affero general public licen[cs]e version?! v?1 0?!"]),
+    ("lgpl-3.0", "lgpl", "lgpl 3 0 or later", [f"lgpl v?3 0?! {LICENCE}"]),
+    ("lgpl-2.1", "lgpl", "lgpl 2 1 or later", [f"lgpl v?2 1 {LICENCE}"]),
+    ("gpl-3.0", "gpl", "gpl 3 0 or later", [f"gpl v?3 0?! {LICENCE}"]),
+    ("gpl-2.0", "gpl", "gpl 2 0 or later", [f"gpl v?2 0?! {LICENCE}"]),
+    ("agpl-3.0", "agpl", "agpl 3 0 or later", [f"agpl v?3 0?! {LICENCE}"]),
+    ("gfdl-1.1", "documentation", "gfdl 1 1", ["gnu?! free documentation licen[cs]e version?! v?1 1"]),
+    ("mpl-1.0", "mozilla", "mpl 1 0", ["mozilla public licen[cs]e version?! v?1 0"]),
+    ("npl-1.1", "netscape", "npl 1 1", ["netscape public licen[cs]e version?! v?1?! 1?!"]),
+    ("ipl-1.0", "ibm", "ipl 1 0", ["ibm public licen[cs]e version?! v?1?! 0?!"]),
+    ("spl-1.0", "sun", "spl 1 0", ["sun public licen[cs]e version?! v?1?! 0?!"]),
+    ("sissl", "sun", "sissl", ["sun industry standards source licen[cs]e"]),
+    ("apsl-2.0", "apple", "apsl 2 0", ["apple public source licen[cs]e version?! v?2?! 0?!"]),
+    ("qpl-1.0", "q", "qpl 1 0", ["q public licen[cs]e version?! v?1?! 0?!"]),
+    ("rpl-1.5", "reciprocal", "rpl 1 5", ["reciprocal public licen[cs]e version?! v?1?! 5?!"]),
+    ("cpal-1.0", "attribution", "cpal 1 0", ["common public attribution licen[cs]e version?! v?1?! 0?!"]),
+    ("lpl-1.02", "lucent", "lpl 1 02", ["lucent public licen[cs]e version?! v?1?! 02?!"]),
+    ("lppl-1.3c", "latex", "lppl 1 3c", ["latex project public licen[cs]e version?! v?1?! 3c?!"]),
+    ("nasa-1.3", "nasa", "nasa 1 3", ["nasa open source agreement version?! v?1?! 3?! licen[cs]e"]),
+    ("zpl-2.1", "zope", "zpl 2 1", ["zope public licen[cs]e version?! v?2?! 1?!"]),
+    ("w3c", "w3c", "w3c", ["w3c software (?:notice and )?!licen[cs]e", "w3c document licen[cs]e"]),
+    ("ijg", "jpeg", "ijg", [f"independent jpeg group {LICENCE}"]),
+    ("libpng", "libpng", "libpng 2 0", [f"libpng {LICENCE}"]),
+    ("curl", "curl", "curl", [f"curl {LICENCE}"]),
+    ("icu", "icu", "icu", [f"icu {LICENCE}"]),
+    ("unicode", "unicode", "unicode 3 0", ["unicode (?:data files )?!licen[cs]e", "unicode licen[cs]e agreement"]),
+    ("tcl", "tcl", "tcl", ["tcl tk?! licen[cs]e"]),
+    ("bzip2-1.0.6", "bzip2", "bzip2 1 0 6", [f"bzip2 {LICENCE}"]),
+    ("sleepycat", "sleepycat", "sleepycat", [f"sleepycat {LICENCE}"]),
+    ("ssleay", "ssleay", "ssleay", [f"ssleay {LICENCE}"]),
+    ("oldap-2.8", "openldap", "oldap 2 8", ["openldap public licen[cs]e version?! v?2?! 8?!"]),
+    ("xfree86-1.1", "xfree86", "xfree86 1 1", [f"xfree86 {LICENCE}"]),
+    ("x11", "x11", "x11", [f"x11 {LICENCE}"]),
+    ("ftl", "freetype", "ftl", ["freetype (?:project )?!licen[cs]e"]),
+    ("intel", "intel", "intel", ["intel open source licen[cs]e"]),
+    ("ms-lpl", "microsoft", "ms lpl", ["microsoft limited public licen[cs]e"]),
+    ("mulan-psl-2.0", "mulan", "mulanpsl 2 0", ["mulan permissive software licen[cs]e version?! v?2?!"]),
+    ("ecos-2.0", "ecos", "ecos 2 0", [f"ecos {LICENCE}"]),
+    ("erlpl-1.1", "erlang", "erlpl 1 1", ["erlang public licen[cs]e version?! v?1?! 1?!"]),
+    ("pddl-1.0", "dedication", "pddl 1 0", ["public domain dedication and licen[cs]e"]),
+    ("cdla-permissive-2.0", "community", "cdla permissive 2 0", ["community data licen[cs]e agreement permissive"]),
+    ("cdla-sharing-1.0", "community", "cdla sharing 1 0", ["community data licen[cs]e agreement sharing"]),
+    ("ogl-3.0", "government", "ogl uk 3 0", ["open government licen[cs]e version?! v?3?! 0?!"]),
+    ("etalab-2.0", "ouverte", "etalab 2 0", ["licence ouverte open?! licen[cs]e?! version?! 2?! 0?!"]),
+    ("gemma", "gemma", "gemma", ["gemma licen[cs]e"]),
+    ("bloom-rail-1.0", "rail", "bloom rail 1 0", ["bigscience rail licen[cs]e version?! v?1?! 0?!"]),
+    ("deepseek", "deepseek", "deepseek", ["deepseek licen[cs]e agreement?!"]),
+    ("commons-clause", "clause", "commons clause", ["commons clause licen[cs]e condition?!"]),
+    ("rsal", "redis", "rsal 2 0", ["redis source available licen[cs]e version?! v?2?! 0?!"]),
+    ("confluent", "confluent", "confluent 1 0", ["confluent community licen[cs]e"]),
+    ("timescale", "timescale", "timescale", ["timescale licen[cs]e"]),
+    ("blue-oak-1.0", "oak", "blueoak 1 0 0", ["blue oak model licen[cs]e"]),
+    ("fair", "fair", "fair", ["fair licen[cs]e"]),
+    ("ntp", "ntp", "ntp", [f"ntp {LICENCE}"]),
+    ("naumen", "naumen", "naumen", ["naumen public licen[cs]e"]),
+    ("motosoto", "motosoto", "motosoto", ["motosoto open source licen[cs]e"]),
+    ("ricoh-1.0", "ricoh", "rscpl", ["ricoh source code public licen[cs]e"]),
+    ("sugarcrm-1.1", "sugarcrm", "sugarcrm 1 1 3", ["sugarcrm public licen[cs]e"]),
+    ("vsl-1.0", "vovida", "vsl 1 0", ["vovida software licen[cs]e version?! v?1?! 0?!"]),
+    ("watcom-1.0", "watcom", "watcom 1 0", ["sybase open watcom public licen[cs]e"]),
+    ("xnet", "net", "xnet", ["x net licen[cs]e"]),
+    ("entessa", "entessa", "entessa", ["entessa public licen[cs]e"]),
+    ("eu-datagrid", "datagrid", "eudatagrid", ["eu datagrid software licen[cs]e"]),
+    ("frameworx-1.0", "frameworx", "frameworx 1 0", ["frameworx open?! licen[cs]e"]),
+    ("jabber", "jabber", "jabber", ["jabber open source licen[cs]e"]),
+    ("nokia", "nokia", "nokia", ["nokia open source licen[cs]e"]),
+    ("oclc-2.0", "oclc", "oclc 2 0", ["oclc research public licen[cs]e"]),
+    ("cern-ohl-2.0", "cern", "cern ohl s 2 0", ["cern open hardware licen[cs]e version?! v?2?! 0?!", "cern ohl licen[cs]e"]),
+    ("solderpad-2.1", "solderpad", "shl 2 1", ["solderpad hardware licen[cs]e"]),
+    ("tapr-ohl-1.0", "tapr", "tapr ohl 1 0", ["tapr open hardware licen[cs]e"]),
+    ("free-art-1.3", "art", "lal 1 3", ["free art licen[cs]e version?! 1?! 3?!"]),
+    ("sil-gust", "gust", "gust font license", ["gust font licen[cs]e"]),
+    ("parity-7.0", "parity", "parity 7 0 0", ["parity public licen[cs]e version?! 7?! 0?! 0?!"]),
+    ("prosperity-3.0", "prosperity", "prosperity 3 0 0", ["prosperity public licen[cs]e version?! 3?! 0?! 0?!"]),
+    ("polyform-sb-1.0", "polyform", "polyform small business 1 0 0", ["polyform small business licen[cs]e"]),
+    ("polyform-perimeter-1.0", "polyform", "polyform perimeter 1 0 0", ["polyform perimeter licen[cs]e"]),
+    ("functional-source", "functional", "fsl 1 1", ["functional source licen[cs]e version?! 1?! 1?!"]),
+    ("matplotlib", "matplotlib", "matplotlib", [f"matplotlib {LICENCE}"]),
+    ("hpnd", "historical", "hpnd", ["historical permission notice and disclaimer"]),
+    ("mit-0", "attribution", "mit 0", ["mit no attribution licen[cs]e?!"]),
+    ("bsd-patent", "bsd", "bsd 2 clause patent", ["bsd 2 clause plus patent licen[cs]e?!", "bsd plus patent licen[cs]e"]),
+    ("bsd-clear", "clear", "bsd 3 clause clear", ["clear bsd licen[cs]e"]),
+    ("isc-old", "internet", "isc", ["internet (?:software|systems) consortium licen[cs]e"]),
 ]
 
 #: Creative Commons deeds: the elements of the short name and their long names.
@@ -115,6 +198,65 @@ PHRASES: list[tuple[str, str, float, str]] = [
     ("license-ref", "license", 0.3, "see the?! license file"),
     ("license-ref", "license", 0.3, "license agreement"),
     ("open-source", "source", 0.4, "open source licen[cs]e"),
+    ("mit", "notice", 0.9, "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "sublicense", 0.9, "rights to use copy modify merge publish distribute sublicense and or sell copies of the software ...40 permission notice"),
+    ("bsd", "retain", 0.9, "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "reproduce", 0.9, "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "contributors", 0.8, "neither the name of ...12 nor the names of its contributors may be used ...12 without specific prior written permission"),
+    ("bsd-4-clause", "advertising", 0.9, "all advertising materials mentioning features or use of this software must display the following ...30 copyright"),
+    ("warranty-disclaimer", "merchantability", 0.5, "implied warrant(?:y|ies) of merchantability"),
+    ("warranty-disclaimer", "express", 0.5, "any express or implied warranties"),
+    ("warranty-disclaimer", "noninfringement", 0.5, "warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("apache-2.0", "perpetual", 0.7, "grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[cs]e"),
+    ("apache-2.0", "patent", 0.7, "royalty free irrevocable ...8 patent licen[cs]e to make have made use offer to sell"),
+    ("apache-2.0", "unless", 0.9, "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e"),
+    ("gpl", "warranty", 0.9, "distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "copy", 0.8, "you should have received a copy of the gnu general public licen[cs]e"),
+    ("lgpl", "copy", 0.9, "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("agpl", "copy", 0.9, "you should have received a copy of the gnu affero general public licen[cs]e"),
+    ("gpl", "freedom", 0.8, "the licen[cs]es for most software ...6 are designed to take away your freedom"),
+    ("mpl-2.0", "form", 0.9, "this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("epl", "accompanying", 0.8, "accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("cddl", "cddl", 0.8, "the contents of this file are subject to the terms of the ...8 licen[cs]e ...40 cddl"),
+    ("zlib", "altered", 0.9, "altered source versions must be plainly marked as such ...60 warranty"),
+    ("zlib", "arising", 0.8, "express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1.0", "executable", 0.8, "machine executable object code generated by a source language processor ...60 warranty"),
+    ("unlicense", "anyone", 0.9, "anyone is free to copy modify publish use compile sell or distribute this software ...60 public domain"),
+    ("cc", "deed", 0.7, "creative commons deed"),
+    ("cc0-1.0", "waived", 0.9, "waived all copyright and related ...6 rights"),
+    ("cc-by-sa", "sharealike", 0.8, "creative commons attribution sharealike"),
+    ("cc-by-sa", "alike", 0.8, "creative commons attribution share alike"),
+    ("cc-by-nc", "noncommercial", 0.8, "creative commons attribution noncommercial"),
+    ("cc-by-nc", "commercial", 0.8, "creative commons attribution non commercial"),
+    ("cc-by", "attribution", 0.7, "creative commons attribution licen[cs]e"),
+    ("public-domain", "domain", 0.8, "i grant ...12 released into the public domain"),
+    ("public-domain", "domain", 0.7, "has been placed in the public domain"),
+    ("public-domain", "government", 0.7, "work of the united?! states?! u?! s?! us?! government ...20 public domain"),
+    ("public-domain", "copyright", 0.6, "no copyright is claimed"),
+    ("proprietary", "unauthorized", 0.7, "unauthorized copying of this file ...20 (?:permission|copyright|licen[cs]e)"),
+    ("proprietary", "trade", 0.6, "trade secrets? ...20 (?:licen[cs]e|permission)"),
+    ("proprietary", "redistributed", 0.6, "may not be (?:copied|reproduced|redistributed) ...10 without ...8 permission"),
+    ("proprietary", "internal", 0.6, "for internal use only ...12 rights reserved"),
+    ("proprietary", "eula", 0.6, "end user licen[cs]e agreement eula"),
+    ("proprietary", "commercial", 0.5, "commercial licen[cs]e"),
+    ("evaluation", "evaluation", 0.5, "evaluation licen[cs]e"),
+    ("academic", "academic", 0.5, "academic licen[cs]e"),
+    ("research-only", "research", 0.6, "licen[cs]ed? for (?:non commercial )?!research (?:purposes|use) only"),
+    ("non-commercial", "commercial", 0.6, "non commercial (?:use|purposes) only ...12 licen[cs]e"),
+    ("no-derivatives", "derivative", 0.5, "no derivative works ...12 licen[cs]e"),
+    ("dual", "dual", 0.6, "dual licen[cs]ed"),
+    ("license-ref", "file", 0.4, "licen[cs]ed? under the ...6 licen[cs]e found in the licen[cs]e file"),
+    ("license-ref", "details", 0.3, "see licen[cs]e txt?! md?! for details"),
+    ("license-ref", "terms", 0.3, "terms of the licen[cs]e"),
+    ("license-ref", "spdx", 0.4, "spdx licen[cs]e identifier licenseref"),
+    ("copyright", "copyright", 0.3, "copyright holders?"),
+    ("copyright", "contributors", 0.4, "copyright ...6 contributors"),
+    ("copyright", "owner", 0.3, "copyright owner"),
+    ("gpl-exception", "classpath", 0.8, "classpath exception ...40 licen[cs]e"),
+    ("gpl-exception", "linking", 0.7, "licen[cs]e ...12 linking exception"),
+    ("llvm-exception", "llvm", 0.9, "llvm exceptions? ...8 licen[cs]e"),
+    ("patent-grant", "patent", 0.6, "additional grant of patent rights ...40 licen[cs]e"),
+    ("trademark", "trademarks", 0.3, "trademarks ...20 rights reserved"),
 ]
 
 #: The three phrases whose places are counted whatever else is found, and their labels.

@@ -58,12 +58,8 @@ def publish(uri: str, write) -> None:
 #: Maps a byte to itself, lower-cased, if it belongs to a word ([0-9a-z] and every byte of a non-ASCII character), else to a space.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-#: The same word rule as a pattern for text in which A-Z have been lower-cased.
-ALNUM_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
 def alnum_words(text: bytes) -> list[bytes]:
-    """Words of ALNUM_PATTERN in UTF-8 text, A-Z lower-cased."""
+    """Runs of letters, digits and non-ASCII characters in UTF-8 text, A-Z lower-cased."""
     return text.translate(ALNUM).split()
 
 

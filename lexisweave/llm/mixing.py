@@ -11,6 +11,8 @@ from .shared import materialize
 
 #: Most epochs of a leaf, rows (about) of a slice of a leaf's seeded order, and the seed.
 MAX_EPOCHS, SLICE_ROWS, SEED = 4, 4096, "mix"
+#: log2 of the parts into which the last slice of a leaf is cut.
+PART_BITS = 6
 #: A token, and a token with the white space before it.
 TOKENS = r"[^\x09-\x0D\x20]+"
 SPACED = r"[\x09-\x0D\x20]*[^\x09-\x0D\x20]+"
@@ -78,7 +80,8 @@ def mix(docs: DataFrame, path: Mapping[str, Column], weights: Sequence[Mapping[s
 
     Scale: leaves are counted by an aggregate that is summed before its shuffle. The running sum of a prefix isn't taken over a
     leaf, which may hold a third of all rows: the order is cut into slices of about slice_rows rows by the leading digits of the
-    hash, slices are summed, and only the one slice of each leaf in which its budget ends is looked at row by row.
+    hash, slices are summed, the one slice of each leaf in which its budget ends is cut again into 2^PART_BITS parts, and only the one part
+    in which it ends is looked at row by row.
     """
     names = list(path)
     if clash := {id_col, "epoch", "n_tokens", "take_tokens"} & set(names) or {id_col} & {"epoch", "n_tokens", "take_tokens"}:
@@ -97,16 +100,24 @@ def mix(docs: DataFrame, path: Mapping[str, Column], weights: Sequence[Mapping[s
     plan = materialize(plan, "mix-plan")
 
     place = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs").cast("string"), F.coalesce(F.col("__id").cast("string"), F.lit(""))))
-    ordered = rows.join(plan, keys).withColumn("__h", place).withColumn("__s", F.shiftright(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * F.col("slices"), 32))
-    sums = ordered.where("rest > 0").groupBy(*keys, "__s").agg(F.sum("__n").alias("__sum"), F.first("rest").alias("rest"))
-    upto = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ends = sums.withColumn("__upto", upto).where("__upto >= rest and __upto - __sum < rest").select(*keys, F.col("__s").alias("__end"), (F.col("rest") - F.col("__upto") + F.col("__sum")).alias("__left"))
-    ends = materialize(ends, "mix-ends")
+    # the leading digits of the hash, as a fraction of all slices, name the slice of a row and its part of that slice
+    at = F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * F.col("slices")
+    ordered = rows.join(plan, keys).withColumn("__h", place).withColumn("__s", F.shiftright(at, 32)).withColumn("__t", F.shiftright(at.bitwiseAND(F.lit((1 << 32) - 1)), 32 - PART_BITS))
+
+    def end_of(sums: DataFrame, part: str, goal: str) -> DataFrame:
+        """The part of each leaf in which goal is reached, and what is left of goal at its start. sums has few rows a leaf."""
+        upto = F.sum("__sum").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return sums.withColumn("__upto", upto).where(f"__upto >= {goal} and __upto - __sum < {goal}").select(*keys, F.col(part).alias(f"{part}_end"), (F.col(goal) - F.col("__upto") + F.col("__sum")).alias(f"{part}_left"))
+
+    slices = ordered.where("rest > 0").groupBy(*keys, "__s").agg(F.sum("__n").alias("__sum"), F.first("rest").alias("rest"))
+    ends = materialize(end_of(slices, "__s", "rest"), "mix-ends")
+    cut = ordered.join(ends, keys)
+    parts = cut.where("__s = __s_end").groupBy(*keys, "__t").agg(F.sum("__n").alias("__sum"), F.first("__s_left").alias("__s_left"))
+    cut = cut.join(materialize(end_of(parts, "__t", "__s_left"), "mix-part-ends"), keys)
 
     out = [F.col("__id").alias(id_col), *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]]
     full = ordered.where("epochs > 0").select(*out, F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).alias("epoch"), F.col("__n").alias("n_tokens"), F.col("__n").alias("take_tokens"))
-    cut = ordered.join(ends, keys)
-    inside = cut.where("__s < __end").select(*out, F.col("epochs").alias("epoch"), F.col("__n").alias("n_tokens"), F.col("__n").alias("take_tokens"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys, "__s").orderBy("__h", "__n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = cut.where("__s = __end").withColumn("__before", before).where("__before < __left").select(*out, F.col("epochs").alias("epoch"), F.col("__n").alias("n_tokens"), F.least(F.col("__n"), F.col("__left") - F.col("__before")).alias("take_tokens"))
+    inside = cut.where("__s < __s_end or __s = __s_end and __t < __t_end").select(*out, F.col("epochs").alias("epoch"), F.col("__n").alias("n_tokens"), F.col("__n").alias("take_tokens"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__h", "__n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = cut.where("__s = __s_end and __t = __t_end").withColumn("__before", before).where("__before < __t_left").select(*out, F.col("epochs").alias("epoch"), F.col("__n").alias("n_tokens"), F.least(F.col("__n"), F.col("__t_left") - F.col("__before")).alias("take_tokens"))
     return full.unionByName(inside).unionByName(last)

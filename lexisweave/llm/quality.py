@@ -15,7 +15,7 @@ from .shared import binary_column
 
 #: log2 of the scorer's weights, n-gram lengths over character classes, and the most rows (about) that train the scorer.
 BITS, SIZES, TRAIN_ROWS = 12, (1, 2, 3), 5000
-#: Characters at which the n-grams of a text have half their weight.
+#: Characters at which the n-grams of a text, and what is left to say without any sign, have half their weight.
 SHORT = 60
 #: Probability of being good under which a document is rejected.
 THRESHOLD = 0.25
@@ -145,31 +145,44 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return model
 
 
+def weight(text: bytes) -> float:
+    """How much a text has to tell by its length, from 0 to 1."""
+    return len(text) / (len(text) + SHORT)
+
+
 def features(text: bytes, s: dict[str, float]) -> np.ndarray:
     """Hashed vector of a text: shares of n-grams over character classes, and its statistics in steps, both of which count for less in a short text."""
     codes = np.frombuffer(text.translate(_CLASSES), dtype=np.uint8)
-    x = np.sqrt(hashed_ngrams(codes, SIZES, BITS).astype(np.float32) / max(1, len(codes)) * (len(codes) / (len(codes) + SHORT)))
+    x = np.sqrt(hashed_ngrams(codes, SIZES, BITS).astype(np.float32) / max(1, len(codes)) * weight(text))
     for k, (name, v) in enumerate(sorted((n, v) for n, v in s.items() if n != "words")):  # length is no sign of quality
         step = int(min(15, np.log2(1 + v))) if v > 1 else int(min(10, 10 * v))
         x[(k * 2654435761 + step * 40503 + 17) % (1 << BITS)] += 0.5 * min(1.0, s["words"] / (2 * LEAST[name]))
     return x
 
 
-def train_scorer(rows: np.ndarray, target: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on soft labels, by gradient descent with momentum; classes weigh alike."""
+def train_scorer(rows: np.ndarray, lengths: np.ndarray, prior: float, target: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on soft labels, by gradient descent with momentum; classes weigh alike.
+
+    The bias counts by the weights of the texts' lengths, what is missing there by the prior's log-odds: a text that tells nothing is as good as any.
+    """
     w, b = np.zeros(rows.shape[1], np.float32), 0.0
     vw, vb = np.zeros_like(w), 0.0
     good = float(np.clip(target.mean(), 0.02, 0.98)) if len(target) else 0.5
-    weight = (target / good + (1 - target) / (1 - good)) / 2
+    balance = (target / good + (1 - target) / (1 - good)) / 2
+    missing = (1 - lengths) * log_odds(prior)
     for _ in range(rounds if len(rows) else 0):
-        p = 1 / (1 + np.exp(-np.clip(rows @ w + b, -30, 30)))
-        g = weight * (p - target) / len(rows)
+        p = 1 / (1 + np.exp(-np.clip(rows @ w + b * lengths + missing, -30, 30)))
+        g = balance * (p - target) / len(rows)
         vw = 0.9 * vw + (rows.T @ g + decay * w)
-        vb = 0.9 * vb + g.sum()
+        vb = 0.9 * vb + (g * lengths).sum()
         w, b = (w - rate * vw).astype(np.float32), b - rate * vb
     return w, float(b)
 
 
+def log_odds(p: float) -> float:
+    return float(np.log(p) - np.log(1 - p))
+
+
 @dataclass(frozen=True)
 class QualityModel:
     labels: LabelModel
@@ -182,7 +195,8 @@ class QualityModel:
         if not s["words"]:
             return 0.0, 0.0
         label = float(self.labels.posterior(np.array([votes(s)]))[0])
-        margin = float(features(text, s) @ self.weights) + self.bias
+        full = weight(text)
+        margin = float(features(text, s) @ self.weights) + self.bias * full + (1 - full) * log_odds(self.labels.prior)
         return label, float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
@@ -227,18 +241,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
                 if (h % (1 << 40)) / (1 << 40) < share[BAD in v]:
                     row = features(text, s)
                     at = np.flatnonzero(row)
-                    out.append({"h": h, "code": code(v), "slots": at.astype(np.int32).tolist(), "values": row[at].tolist()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("h", pa.int64()), ("code", pa.int32()), ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))]))
+                    out.append({"h": h, "code": code(v), "length": weight(text), "slots": at.astype(np.int32).tolist(), "values": row[at].tolist()})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("h", pa.int64()), ("code", pa.int32()), ("length", pa.float64()), ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))]))
 
     drawn = source.withColumn("h", draw).where(F.pmod("h", F.lit(1 << 40)) < F.lit(int(top * (1 << 40)) + 1)).select("h", "text")
-    vectors = drawn.mapInArrow(sample, "h long, code int, slots array<int>, values array<float>")
+    vectors = drawn.mapInArrow(sample, "h long, code int, length double, slots array<int>, values array<float>")
     # rows that repeat id and text are drawn together and count once
     found = sorted(vectors.dropDuplicates(["h"]).collect(), key=lambda r: (r["h"], r["code"]))
     matrix = np.zeros((len(found), 1 << BITS), np.float32)
     for i, r in enumerate(found):
         matrix[i, r["slots"]] = r["values"]
     target = labels.posterior(np.array([pattern(r["code"]) for r in found], dtype=int).reshape(-1, LABELLERS)).astype(np.float32)
-    weights, bias = train_scorer(matrix, target)
+    lengths = np.array([r["length"] for r in found], dtype=np.float32)
+    weights, bias = train_scorer(matrix, lengths, labels.prior, target)
     return QualityModel(labels, weights, bias)
 
 

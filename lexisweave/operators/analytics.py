@@ -37,14 +37,15 @@ def top_terms(vocab: DataFrame, n: int = 10) -> DataFrame:
     return vocab.orderBy(F.desc("cf"), "term").limit(n).select("term", "cf")
 
 
-def ranked(rows: DataFrame, value: str, tie: str, parts: int = 32) -> DataFrame:
+def ranked(rows: DataFrame, value: str, tie: str, parts: int | None = None) -> DataFrame:
     """rows with their rank by descending value and then tie (neither null), without a window over all rows in one task.
 
-    A bounded sample gives the bounds of `parts` ranges of the order, as literals, so that every evaluation cuts alike. Rows are numbered
+    A bounded sample gives the bounds of `parts` ranges of the order (by default one for each million rows, 32 to 1024), as literals, so that every evaluation cuts alike. Rows are numbered
     within their range and shifted by the counts of the ranges before it: one small row for each range is summed up. A value that most rows
     share is cut by its ties.
     """
     total = rows.count()
+    parts = parts or min(1024, max(32, total >> 20))
     sample = rows.select(value, tie).sample(min(1.0, 50 * parts / max(1, total)), seed=7).limit(200 * parts).collect()
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     order = sorted(sorted((tuple(r) for r in sample), key=lambda r: r[1]), key=lambda r: r[0], reverse=True)

@@ -190,7 +190,7 @@ def crawl_step(frontier: DataFrame, visited: DataFrame, pages: DataFrame, source
 
     frontier (url, and place where it is known) and visited hold urls, pages (page_id, url, html) what a fetch returns. A page is visited
     once, if wanted. Its links are followed whether or not it is a document. A document's url is the page's without its query; of a round's
-    pages with one document url the first by place and then url counts, and a document that is fresh in existing (url, fetched_at) isn't fetched.
+    pages with one document url the first by place, then url, then page_id counts (pages may hold a url several times), and a document that is fresh in existing (url, fetched_at) isn't fetched.
 
     place is an array of numbers: the seed's number, then that of each link on its page. Its order is the order of a queue's visits within a round.
     """
@@ -199,10 +199,10 @@ def crawl_step(frontier: DataFrame, visited: DataFrame, pages: DataFrame, source
     todo = frontier.groupBy("url").agg(F.min("place").alias("place")).join(visited.select("url"), "url", "left_anti").where(source.wanted(F.col("url")))
     todo = _written(todo, "crawl-visits")  # all results are taken from it
     seen = visited.select("url").unionByName(todo.select("url"))
-    got = pages.select(H.normalize_url(F.col("url")).alias("url"), "html").join(todo, "url")
+    got = pages.select("page_id", H.normalize_url(F.col("url")).alias("url"), "html").join(todo, "url")
     found = got.select("url", "place", F.posexplode(H.hrefs(F.col("html"))).alias("at", "href")).select(H.links(F.col("url"), F.col("href")).alias("link"), F.concat("place", F.array(F.col("at").cast("long"))).alias("place")).where("link is not null")
     follow = found.groupBy(F.col("link").alias("url")).agg(F.min("place").alias("place")).join(seen, "url", "left_anti")
-    first = got.where(source.is_doc(F.col("url"))).groupBy(H.strip_query(F.col("url")).alias("doc")).agg(F.min_by(F.struct("html", "place"), F.struct("place", "url", F.xxhash64("html"))).alias("p"))
+    first = got.where(source.is_doc(F.col("url"))).groupBy(H.strip_query(F.col("url")).alias("doc")).agg(F.min_by(F.struct("html", "place"), F.struct("place", "url", F.col("page_id").isNull(), "page_id", F.xxhash64("html"))).alias("p"))
     current = existing.where(fresh(F.col("fetched_at"), now, ttl)).select(F.col("url").alias("doc"))
     docs = first.join(current, "doc", "left_anti").select(
         F.col("doc").alias("url"), F.col("p.html").alias("raw_content"), content_hash(F.col("p.html")).alias("raw_sha256"), H.html_to_text(F.col("p.html"), source.closed_references).alias("parsed_text"), H.html_title(F.col("p.html"), source.closed_references).alias("title"),

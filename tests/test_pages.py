@@ -227,3 +227,23 @@ def test_crawled_cut_references(spark, tmp_path):
 
     got = QUERIES["crawl_docs"](spark, cut_pages(spark, tmp_path)).orderBy("url").collect()
     assert [(r.title, r.parsed_text) for r in got][:2] == [("a&&&amp", "a&&&amp x"), ('"a&quot', '"a&quot ©&middot')]
+
+
+def test_collected_cut_references(spark, tmp_path):
+    from lexisweave.plans.catalogue import QUERIES
+
+    got = QUERIES["crawl_collection"](spark, cut_pages(spark, tmp_path)).orderBy("url").collect()
+    assert [r.title for r in got][:1] == ["a&&&amp"]  # the one whose stored content had changed
+
+
+def test_pages_of_one_url(spark, tmp_path):
+    import hashlib
+
+    from lexisweave.plans.catalogue import QUERIES
+
+    pages = [(i + 8 * k, f"http://example.com/{i}", f"<title>{i} {k}</title>") for i in range(1, 8) for k in range(4)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    want = {u: (t[7:-8], hashlib.sha256(t.encode()).hexdigest()) for _, u, t in reversed(sorted(pages))}
+    assert {r.url: (r.title, r.raw_sha256) for r in QUERIES["crawl_docs"](spark, str(tmp_path)).collect()} == want
+    got = QUERIES["crawl_collection"](spark, str(tmp_path)).collect()
+    assert {r.url: r.raw_sha256 for r in got} == {u: sha for u, (_, sha) in want.items()}

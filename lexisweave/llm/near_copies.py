@@ -1,4 +1,4 @@
-"""Near copies at a stated shingle similarity: MinHash bands find the candidates, the shingle sets themselves decide."""
+"""Near copies at a stated shingle similarity: SimHash tables and bit-sliced comparison find most, MinHash bands the rest; the shingle sets themselves decide."""
 
 from __future__ import annotations
 
@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import binary_column, materialize
+from .simhash import fingerprint_links, majority, sampled_tables
 
 #: Words of a shingle, and the least Jaccard similarity of two shingle sets that links them, as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Candidates share the ROWS minima of one of BANDS bands, the same at every table size: a pair at exactly 0.8 shares none with
 #: probability (1 - 0.8 ** 5) ** 32 = 3e-6, one at 0.85 with 2e-8.
 ROWS, BANDS, SEED = 5, 32, 42
-#: Bands of the passes: the first links most copies, later ones look only at buckets that still hold several components.
-PASSES = ((0, 3), (3, BANDS))
+#: SimHash fingerprints of 64 * WORDS bits of the shingle set. Sets of similarity 0.8 (the cosine 2 * 0.8 / 1.8 is an angle of 0.151 pi) differ
+#: in 39 of 256 bits with a deviation of 6, so the radius takes in all but 2 in 10,000 of them that meet in one of TABLES sampled tables. By formula
+#: those are 96 % at similarity 0.95, 80 % at 0.9 and 43 % at 0.8; the others are left to the bands.
+WORDS, RADIUS, TABLES = 4, 60, 16
+#: Bands of the passes after SimHash: they look only at buckets that still hold several components.
+PASSES = ((0, BANDS),)
+#: Links of one node that a task checks; those of a node with more are dealt out.
+SHARE = 1 << 8
+FINGERPRINT = [f"f{w}" for w in range(WORDS)]
 #: Nodes of one bucket that a task compares with each other; larger buckets are dealt out as pairs of such chunks.
 CHUNK = 1 << 12
 
@@ -82,7 +90,7 @@ def similar_links(sets: list[np.ndarray], roots: np.ndarray, side: np.ndarray, s
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(id, hash, node, keys) of each row: the hash of its text, the name of its shingle set and its band keys."""
+    """(id, hash, node, keys, f0, f1, ...) of each row: the hash of its text, the name of its shingle set, its band keys and its fingerprint."""
 
     def run(batches):
         import pyarrow as pa
@@ -90,12 +98,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             sets = [shingle_set(x.as_py()) for x in binary_column(batch, "text")]
+            fps = np.array([majority(s, WORDS) for s in sets], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("hash"), pa.array([xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))],
-                ["id", "hash", "node", "keys"])
+                [batch.column("id"), batch.column("hash"), pa.array([xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), *[pa.array(fps[:, w].copy()) for w in range(WORDS)]],
+                ["id", "hash", "node", "keys", *FINGERPRINT])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, hash string, node string, keys array<long>")
+    return docs.mapInArrow(run, ", ".join([f"id {kind}, hash string, node string, keys array<long>", *[f"{f} long" for f in FINGERPRINT]]))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -110,6 +119,42 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node string, values binary")
 
 
+def _node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, values): the shingle sets of the wanted (node distinct), written to the shared folder."""
+    # rows that repeat id and text have one set; it is taken once
+    texts = docs.join(wanted.join(nodes.select("node", "id", "hash"), "node"), ["id", "hash"]).select("node", "text")
+    return materialize(_sets(texts).groupBy("node").agg(F.first("values").alias("values")), "near-sets")
+
+
+def simhash_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): links between similar nodes (node, id, hash, f0, f1, ...) that SimHash finds: of fingerprints within RADIUS in the tables, those whose sets are similar.
+
+    The comparison gives a spanning forest of the fingerprints' links, not all of them, so similar pairs may be missing here.
+    """
+    near = fingerprint_links(nodes.select("node", *FINGERPRINT), sampled_tables(RADIUS, WORDS, count=TABLES), RADIUS)
+    pairs = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-simhash")
+    sets = _node_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    # a node with many links has a copy of its set for each SHARE of them, so they needn't meet in one task
+    hubs = F.broadcast(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SHARE).select("a", F.ceil(F.col("n") / SHARE).alias("parts")))
+    dealt = pairs.join(hubs, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0).cast("long")).alias("part"))
+    copies = sets.withColumnRenamed("node", "a").join(hubs, "a", "left").select("a", F.col("values").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)).alias("part"))
+    both = dealt.join(sets.select(F.col("node").alias("b"), F.col("values").alias("y")), "b").join(copies, ["a", "part"]).select("a", "b", "x", "y")
+    top, bottom = SIMILAR
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                one, other = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+                shared = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(shared * bottom >= (len(one) + len(other) - shared) * top)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a string, b string")
+
+
 def _pass_links(docs: DataFrame, nodes: DataFrame, first: int, end: int, chunk: int) -> DataFrame:
     """(a, b): links that connect all similar nodes (node, id, hash, label, keys) that share one of these bands and have different labels."""
     keyed = nodes.select("node", "label", F.explode(F.slice("keys", first + 1, end - first)).alias("key"))
@@ -118,10 +163,7 @@ def _pass_links(docs: DataFrame, nodes: DataFrame, first: int, end: int, chunk:
     # buckets of the same nodes are compared once
     chosen = sizes.where("lo <> hi").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
     members = materialize(keyed.join(chosen, "key"), "near-members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "id", "hash"), "node")
-    # rows that repeat id and text have one set; it is taken once
-    texts = docs.join(wanted, ["id", "hash"]).select("node", "text")
-    sets = materialize(_sets(texts).groupBy("node").agg(F.first("values").alias("values")), "near-sets")
+    sets = _node_sets(docs, nodes, members.select("node").distinct())
     chunks = F.ceil(F.col("n") / chunk)
     own = F.pmod(F.xxhash64("node"), chunks)
     # a member of chunk c goes to the pairs (c, c) as side 0, (c, d > c) as side 1 and (d < c, c) as side 2
@@ -154,18 +196,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, hash, node, component): each row's id, MD5 of its text, shingle set and the least node of its group of near copies.
 
     Texts are cut as in simhash; their shingles count once each. Two rows link if the Jaccard similarity of their shingle sets is SIMILAR
-    or more, as counted on the sets; texts without words are one set. Candidates share a band (see BANDS for the chance that a pair
-    shares none). Rows with equal sets are one node, so copies are compared once; a node has a name of its own, whatever ids it has.
+    or more, as counted on the sets; texts without words are one set. Candidates are found by SimHash (see TABLES); those that it leaves
+    share a band (see BANDS for the chance that a pair shares none). Rows with equal sets are one node, so copies are compared once; a node has a name of its own, whatever ids it has.
     """
     texts = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), F.col(text_col).alias("text"))
     rows = materialize(_texts(texts), "near-rows")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("row"), F.first("keys").alias("keys"))
-    nodes = materialize(nodes.select("node", "row.id", "row.hash", "keys"), "near-nodes")
-    roots, links = None, None
+    nodes = rows.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("row"), F.first("keys").alias("keys"), *[F.first(f).alias(f) for f in FINGERPRINT])
+    nodes = materialize(nodes.select("node", "row.id", "row.hash", "keys", *FINGERPRINT), "near-nodes")
+    links = materialize(simhash_links(texts, nodes), "near-links")
+    roots = connected_components(links)
     for first, end in PASSES:
-        labelled = nodes.withColumn("label", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        found = materialize(_pass_links(texts, labelled, first, end, chunk), "near-links")
-        links = found if links is None else links.unionByName(found)
+        labelled = nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+        links = links.unionByName(materialize(_pass_links(texts, labelled, first, end, chunk), "near-links"))
         roots = connected_components(links)
     return rows.join(roots, "node", "left").select("id", "hash", "node", F.coalesce("root", "node").alias("component"))
 

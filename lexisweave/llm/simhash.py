@@ -47,6 +47,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, words: int = 1, seed: int =
     else:
         starts = [0, *itertools.accumulate(len(w) + 1 for w in found)]
         hashes = np.array([xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(starts, starts[shingle:], strict=False)], dtype=np.uint64)
+    return majority(hashes, words)
+
+
+def majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The fingerprint of shingle hashes; 0 without any."""
     counts = np.zeros((words, 64), dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         for w in range(words):
@@ -225,11 +230,12 @@ def block_tables(radius: int, words: int = 1) -> list[list[int]]:
     return [_mask_words(blocks[i] | blocks[j], words) for i, j in itertools.combinations(range(n), 2)]
 
 
-def sampled_tables(radius: int, words: int, loss: float = 0.005, seed: int = SEED) -> list[list[int]]:
+def sampled_tables(radius: int, words: int, loss: float = 0.005, seed: int = SEED, count: int | None = None) -> list[list[int]]:
     """Bit masks of tables for wide radii, where blocks would be too short: each takes KEY_BITS bits drawn at random.
 
     A pair at exactly `radius` differing bits fails to meet in any table with probability `loss`, closer pairs far more rarely. The tables
-    are the same for every input, and so is whether a pair meets; a bucket of unrelated rows grows as rows / 2^KEY_BITS.
+    are the same for every input, and so is whether a pair meets; a bucket of unrelated rows grows as rows / 2^KEY_BITS. count, where it
+    is given, is the number of tables in place of what loss asks for: then the caller has another way for pairs that don't meet.
     """
     import math
     import random
@@ -237,7 +243,7 @@ def sampled_tables(radius: int, words: int, loss: float = 0.005, seed: int = SEE
     bits = 64 * words
     meet = math.prod((bits - radius - i) / (bits - i) for i in range(KEY_BITS))
     draw = random.Random(seed)
-    return [_mask_words(sum(1 << b for b in draw.sample(range(bits), KEY_BITS)), words) for _ in range(math.ceil(math.log(loss) / math.log(1 - meet)))]
+    return [_mask_words(sum(1 << b for b in draw.sample(range(bits), KEY_BITS)), words) for _ in range(count or math.ceil(math.log(loss) / math.log(1 - meet)))]
 
 
 def _mask_words(mask: int, words: int) -> list[int]:

@@ -73,3 +73,31 @@ def test_rows_of_one_id(spark):
     docs = spark.createDataFrame([(1, a), (5, b), (5, a), (5, c), (5, c), (7, c), (8, b), (8, d), (9, None), (3, None)], "doc_id long, text string")
     kept = sorted((r.doc_id, r.text or "") for r in S.near_dedup(spark, docs, "").collect())
     assert kept == sorted([(1, a), (5, b), (5, c), (8, d), (3, "")])
+
+
+def test_simhash_finds_close_copies(spark, monkeypatch):
+    monkeypatch.setattr(N, "PASSES", ())  # what SimHash finds by itself, at the parameters of the pipeline
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(150):
+        base = words(rnd, rnd.choice((60, 200, 500)))
+        texts += [base, changed(rnd, base, rnd.uniform(0, 0.06))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    groups = {r.id: r.component for r in N.near_copies(docs).collect()}
+    values = [(similarity(texts[k], texts[k + 1]), groups[k] == groups[k + 1]) for k in range(0, 300, 2)]
+    assert len(set(groups.values())) == 300 - sum(linked for _, linked in values)
+    assert not any(linked for v, linked in values if v < 0.8)
+    close = [linked for v, linked in values if v >= 0.9]
+    assert len(close) > 20 and sum(close) > 0.8 * len(close)
+
+
+def test_links_of_one_node_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(N, "PASSES", ())
+    rnd = random.Random(9)
+    base = words(rnd, 400)
+    docs = spark.createDataFrame(list(enumerate(changed(rnd, base, 0.003) for _ in range(60))), "doc_id long, text string")
+    found = []
+    for share in (256, 7):
+        monkeypatch.setattr(N, "SHARE", share)
+        found.append(sorted((r.id, r.component) for r in N.near_copies(docs).collect()))
+    assert found[0] == found[1] and len({c for _, c in found[0]}) < 10
